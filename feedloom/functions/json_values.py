@@ -28,10 +28,11 @@ def strict_json(candidate: Column) -> Column:
 
 def json_candidates(raw: Column) -> tuple[Column, Column, Column]:
     """Whole text, first fenced block, and first ``{`` to last ``}``."""
-    fenced = F.when(raw.rlike(FENCED_BLOCK), F.regexp_extract(raw, FENCED_BLOCK, 1))
+    fenced = F.when(raw.contains("```"), F.regexp_extract(raw, FENCED_BLOCK, 1))
     first = F.instr(raw, "{")
     last = F.length(raw) - F.instr(F.reverse(raw), "}") + 1
-    inner = (first > 0) & raw.contains("}") & (last > first) & ((first > 1) | (last < F.length(raw)))
+    bare = raw.startswith("{") & raw.endswith("}")
+    inner = ~bare & (first > 0) & raw.contains("}") & (last > first)
     return raw, fenced, F.when(inner, F.substring(raw, first, last - first + 1))
 
 

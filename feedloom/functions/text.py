@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,8 +20,18 @@ LATIN_DIGITS = "0123456789"
 HTTP_URL = r"(?i)^https?://"
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
 LIMITATION_PHRASES = (
-    r"(?i)only found|couldn'?t find|limited results|not enough|fewer than"
-    r"|unable to (find|retrieve|locate)|no (search )?results|could not find"
+    "only found",
+    "couldn't find",
+    "couldnt find",
+    "limited results",
+    "not enough",
+    "fewer than",
+    "unable to find",
+    "unable to retrieve",
+    "unable to locate",
+    "no results",
+    "no search results",
+    "could not find",
 )
 PLACEHOLDER_TITLE = r"(?i)(no recent|no data|not available)"
 APOLOGY_TITLE = r"(?i)(no .*(reports?|results?|data) available|unable to retrieve|couldn'?t find)"
@@ -27,6 +39,10 @@ MIN_SUMMARY_CHARS = 20
 MIN_TITLE_WORD_CHARS = 3
 # -----------------------------------------------------------------------------
 
+# The same class, shaped so that an ordinary letter fails on two range tests.
+_SPACE = rf"[\t-\r [\u00A0-\uFEFF&&{WHITESPACE}]]"
+_SPACE_CHARS = "".join(chr(c) for c in range(0x10000) if re.match(WHITESPACE, chr(c)))
+
 _PAGE_CHROME = (
     r"(?is)<!--.*?-->"
     r"|<head\b.*?</head>|<script\b.*?</script>|<style\b.*?</style>"
@@ -37,12 +53,12 @@ _PAGE_CHROME = (
 
 def trimmed(text: Column) -> Column:
     """Trim every kind of whitespace; Spark's own trim removes spaces only."""
-    return F.regexp_replace(text, f"^{WHITESPACE}+|{WHITESPACE}+$", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
 
 
 def squeezed(text: Column) -> Column:
     """Trim, lower and collapse inner whitespace to one space."""
-    return F.regexp_replace(F.lower(trimmed(text)), f"{WHITESPACE}+", " ")
+    return F.regexp_replace(F.lower(trimmed(text)), f"{_SPACE}+", " ")
 
 
 def latin_digits(text: Column) -> Column:
@@ -63,7 +79,7 @@ def main_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"<[^>]*>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return trimmed(F.regexp_replace(text, f"{WHITESPACE}+", " "))
+    return trimmed(F.regexp_replace(text, f"{_SPACE}+", " "))
 
 
 def head(text: Column, n: int) -> Column:
@@ -81,13 +97,16 @@ def title_words(title: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > MIN_TITLE_WORD_CHARS))
 
 
+def mentions_limits(text: Column) -> Column:
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in LIMITATION_PHRASES])
+
+
 def clean_summary(summary: Column) -> Column:
     """Drop sentences that apologise for the search, unless too little is left."""
-    sentences = F.split(summary, f"(?<=[.!?]){WHITESPACE}+")
-    kept = F.array_join(F.filter(sentences, lambda s: ~s.rlike(LIMITATION_PHRASES)), " ")
-    kept = trimmed(kept)
-    apologetic = summary.rlike(LIMITATION_PHRASES)
-    return F.when(apologetic & (F.length(kept) > MIN_SUMMARY_CHARS), kept).otherwise(summary)
+    sentences = F.split(summary, f"(?<=[.!?]){_SPACE}+")
+    kept = trimmed(F.array_join(F.filter(sentences, lambda s: ~mentions_limits(s)), " "))
+    return F.when(mentions_limits(summary) & (F.length(kept) > MIN_SUMMARY_CHARS), kept).otherwise(summary)
 
 
 def is_translatable(value: Column) -> Column:

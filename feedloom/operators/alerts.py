@@ -47,12 +47,12 @@ def announce(added: DataFrame, cap: int = ANNOUNCED_ALERTS, group: str | None =
     return added.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= cap).drop("rank")
 
 
-def alert_step(batch: DataFrame, store: DataFrame, batch_id: int, now_iso: str) -> tuple[DataFrame, DataFrame]:
-    """One update: the rows that are new, and the store after it.
+def new_alerts(batch: DataFrame, store: DataFrame, batch_id: int, now_iso: str) -> DataFrame:
+    """Store rows for what an update brings that is new.
 
     The store is at most ``STORED_ALERTS`` rows, so the anti-join broadcasts it.
     """
-    added = anti_seen(batch.select("pos", "headline", "url"), store).select(
+    return anti_seen(batch.select("pos", "headline", "url"), store).select(
         F.lit(batch_id).cast("bigint").alias("batch"),
         "pos",
         "headline",
@@ -60,7 +60,6 @@ def alert_step(batch: DataFrame, store: DataFrame, batch_id: int, now_iso: str)
         F.lit(now_iso).alias("added_at"),
         F.lit(False).alias("is_read"),
     )
-    return added, cap_store(added, store)
 
 
 def apply_commands(notifications: DataFrame, commands: DataFrame) -> DataFrame:

@@ -77,7 +77,8 @@ def roster_match(
     Only distinct names are normalised and matched; the comments themselves are
     joined once, on the name as written.
     """
-    named = with_norm_name(roster, "name", strip_marks=strip_marks)
+    people = roster.groupBy("conflict", "name").agg(F.min("ord").alias("ord"))
+    named = with_norm_name(people, "name", strip_marks=strip_marks)
     authors = comments.select("conflict", "author").distinct()
     authors = with_norm_name(authors, "author", strip_marks=strip_marks).filter(F.length("norm") >= min_len)
     hits = roster_hits(authors.select("conflict", "norm").distinct(), named.select("conflict", "norm", "ord"))

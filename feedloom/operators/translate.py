@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,49 +13,48 @@ def size_guard(payload: Column, limit: int = PAYLOAD_LIMIT) -> Column:
     return F.when(F.length(payload) <= limit, "ok").otherwise("too_large")
 
 
+def _steps(node: Column) -> Column:
+    """Children of an object or array as ``(step, node)``; protected keys left out."""
+    elements = F.transform(
+        F.try_variant_get(node, "$", "array<variant>"),
+        lambda v, i: F.struct(i.cast("string").alias("step"), v.alias("node")),
+    )
+    fields = F.map_filter(
+        F.try_variant_get(node, "$", "map<string,variant>"), lambda k, _: ~k.isin(*PROTECTED_KEYS)
+    )
+    entries = F.transform(
+        F.map_entries(fields), lambda e: F.struct(e["key"].alias("step"), e["value"].alias("node"))
+    )
+    kind = F.schema_of_variant(node)
+    return F.when(kind.startswith("ARRAY"), elements).when(kind.startswith("OBJECT"), entries)
+
+
 def json_leaves(docs: DataFrame, doc: str, json_col: str, max_depth: int = 6) -> DataFrame:
     """Every translatable string of a JSON document with its path.
 
-    One unnesting step per level; a protected key drops its whole subtree as
-    soon as it is met.  Nesting below ``max_depth`` raises an error instead of
-    being left out.
+    One scan: each step unnests the containers one level and lets finished
+    scalars pass.  A protected key drops its whole subtree.  Nesting below
+    ``max_depth`` raises an error instead of being left out.
     """
-    level = docs.select(
-        doc,
-        F.array().cast("array<string>").alias("path"),
-        F.try_parse_json(json_col).alias("node"),
+    rows = docs.select(
+        doc, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_col).alias("node")
     )
-    found = []
-    for depth in range(max_depth + 1):
-        kind = F.schema_of_variant("node")
-        text = F.try_variant_get("node", "$", "string")
-        found.append(level.filter((kind == "STRING") & is_translatable(text)).select(doc, "path", text.alias("value")))
-        nested = level.filter(kind.startswith("OBJECT") | kind.startswith("ARRAY"))
-        if depth == max_depth:
-            too_deep = nested.select(
-                doc, "path", F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast("string").alias("value")
-            )
-            found.append(too_deep)
-            break
-        is_array = F.schema_of_variant("node").startswith("ARRAY")
-        parts = F.when(
-            is_array,
-            F.transform(
-                F.try_variant_get("node", "$", "array<variant>"),
-                lambda v, i: F.struct(i.cast("string").alias("step"), v.alias("node")),
-            ),
-        ).otherwise(
-            F.transform(
-                F.map_entries(F.try_variant_get("node", "$", "map<string,variant>")),
-                lambda e: F.struct(e["key"].alias("step"), e["value"].alias("node")),
-            )
-        )
-        children = nested.select(doc, "path", is_array.alias("is_array"), F.explode(parts).alias("part"))
-        level = children.filter(F.col("is_array") | ~F.col("part.step").isin(*PROTECTED_KEYS)).select(
-            doc, F.array_append("path", F.col("part.step")).alias("path"), F.col("part.node").alias("node")
+    for _ in range(max_depth):
+        passed = F.array(F.struct(F.lit(None).cast("string").alias("step"), F.col("node")))
+        rows = rows.select(doc, "path", F.explode(F.coalesce(_steps(F.col("node")), passed)).alias("part")).select(
+            doc,
+            F.when(F.col("part.step").isNull(), F.col("path"))
+            .otherwise(F.array_append("path", F.col("part.step")))
+            .alias("path"),
+            F.col("part.node").alias("node"),
         )
-    leaves = reduce(DataFrame.unionByName, found)
-    return leaves.select(doc, F.array_join("path", ".").alias("path"), "value")
+    kind = F.schema_of_variant("node")
+    too_deep = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast("string")
+    text = F.when(kind == "STRING", F.try_variant_get("node", "$", "string")).when(
+        kind.startswith("OBJECT") | kind.startswith("ARRAY"), too_deep
+    )
+    leaves = rows.select(doc, F.array_join("path", ".").alias("path"), text.alias("value"))
+    return leaves.filter(is_translatable(F.col("value")))
 
 
 def field_leaves(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.operators.alerts import STORE_SCHEMA, alert_step
+from feedloom.operators.alerts import STORE_SCHEMA, announce, cap_store, new_alerts
 from feedloom.operators.items import critical_only, identity_key
 from feedloom.operators.snapshots import delete_keys, evicted_channel_keys, upsert
 from feedloom.sources.costs import with_cost_defaults
@@ -57,53 +59,64 @@ class AlertStore:
         self.spark = spark
         self.path = path.rstrip("/")
 
-    def _versions(self) -> list[int]:
+    def _last(self, below: int | None = None) -> int | None:
+        """Newest committed batch, if asked below a given one."""
         try:
             commits = self.spark.read.schema("batch_id BIGINT").parquet(f"{self.path}/commits")
         except AnalysisException:
-            return []
-        # Commits are one number per batch; only the largest is ever needed.
-        return [r[0] for r in commits.agg(F.max("batch_id")).collect() if r[0] is not None]
+            return None
+        if below is not None:
+            commits = commits.filter(F.col("batch_id") < below)
+        return commits.agg(F.max("batch_id")).first()[0]
 
-    def before(self, batch_id: int) -> DataFrame:
-        try:
-            commits = self.spark.read.schema("batch_id BIGINT").parquet(f"{self.path}/commits")
-            last = commits.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-        except AnalysisException:
-            last = None
-        if last is None:
+    def _read(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(STORE_SCHEMA).parquet(f"{self.path}/{folder}")
+
+    def _store(self, batch_id: int | None) -> DataFrame:
+        if batch_id is None:
             return self.spark.createDataFrame([], STORE_SCHEMA)
-        return self.spark.read.schema(STORE_SCHEMA).parquet(f"{self.path}/store/batch={last}")
+        return self._read(f"store/batch={batch_id}")
 
     def latest(self) -> DataFrame:
-        versions = self._versions()
-        return self.before(versions[0] + 1) if versions else self.before(0)
+        """The stored notifications now."""
+        return self._store(self._last())
 
     def added(self) -> DataFrame:
-        """Everything ever reported as new, for announcing."""
-        return self.spark.read.schema(STORE_SCHEMA).parquet(f"{self.path}/added/*")
-
-    def advance(self, batch: DataFrame, batch_id: int, now_iso: str) -> None:
-        added, store = alert_step(batch, self.before(batch_id), batch_id, now_iso)
-        added.write.mode("overwrite").parquet(f"{self.path}/added/batch={batch_id}")
-        fresh = self.spark.read.schema(STORE_SCHEMA).parquet(f"{self.path}/added/batch={batch_id}")
-        from feedloom.operators.alerts import cap_store
-
-        cap_store(fresh, self.before(batch_id)).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.path}/store/batch={batch_id}"
-        )
-        self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id")).write.mode("append").parquet(
-            f"{self.path}/commits"
+        """Everything ever reported as new."""
+        return self._read("added/*")
+
+    def advance(self, batch: DataFrame, batch_id: int, now_iso: str) -> DataFrame:
+        """Apply one update; returns the rows it reported as new."""
+        stored = self._store(self._last(below=batch_id))
+        new_alerts(batch, stored, batch_id, now_iso).write.mode("overwrite").parquet(
+            f"{self.path}/added/batch={batch_id}"
         )
-
-
-def alert_stream(items: DataFrame, store: AlertStore, checkpoint: str, now_iso, **trigger) -> StreamingQuery:
-    """Critical items not yet stored become alerts.  ``now_iso`` maps a batch id
-    to its timestamp, so a replay stamps the same time."""
+        added = self._read(f"added/batch={batch_id}")
+        cap_store(added, stored).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/store/batch={batch_id}")
+        commit = self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch_id"))
+        commit.write.mode("append").parquet(f"{self.path}/commits")
+        return added
+
+
+def alert_stream(
+    items: DataFrame,
+    store: AlertStore,
+    checkpoint: str,
+    now_iso: Callable[[int], str],
+    on_announce: Callable[[DataFrame, int], None] | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Critical items not yet stored become alerts.
+
+    ``now_iso`` maps a batch id to its timestamp, so a replay stamps the same
+    time; ``on_announce`` receives the few alerts of a batch worth showing.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = critical_only(batch).select("pos", F.col("title").alias("headline"), "url")
-        store.advance(rows, batch_id, now_iso(batch_id))
+        added = store.advance(rows, batch_id, now_iso(batch_id))
+        if on_announce is not None:
+            on_announce(announce(added), batch_id)
 
     return (
         items.writeStream.foreachBatch(handle)
