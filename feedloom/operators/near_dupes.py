@@ -184,10 +184,10 @@ class TitleGroups:
 
     def _settle(self) -> DataFrame:
         live = self.members
-        kept = live.select("oid").limit(0)
+        kept = None
         for _ in range(self.max_rounds):
             if live.isEmpty():
-                return kept
+                return live.select("oid") if kept is None else kept
             heads = live.groupBy("clique").agg(F.min("oid").alias("head"))
             winners = cut_lineage(
                 live.join(heads, "clique")
@@ -199,7 +199,7 @@ class TitleGroups:
             won = heads.join(winners, heads["head"] == winners["oid"], "left_semi").select("clique")
             decided = live.join(won, "clique", "left_semi").select("oid").distinct()
             live = cut_lineage(live.join(decided, "oid", "left_anti"))
-            kept = kept.unionByName(winners)
+            kept = winners if kept is None else kept.unionByName(winners)
         raise RuntimeError(f"near-duplicate chains are longer than {self.max_rounds} rounds")
 
 

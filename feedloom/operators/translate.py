@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import is_translatable, latin_digits, trimmed
+from feedloom.operators.pages import position_rank
 from feedloom.sources.topics import LEAVES_PER_CHUNK, PAYLOAD_LIMIT, PROTECTED_KEYS
 
 
@@ -74,10 +75,11 @@ def protected_path(path: Column) -> Column:
 def chunk_leaves(leaves: DataFrame, doc: str, order: str, size: int = LEAVES_PER_CHUNK) -> DataFrame:
     """Number leaves ``v0, v1, ...`` and put ``size`` of them in a chunk.
 
-    A payload is size-guarded, so a document's leaves are a bounded group.
+    ``order`` is the leaf's integer position in its document; numbering works in
+    blocks, so one very long document does not end up in one task.
     """
-    n = F.row_number().over(Window.partitionBy(doc).orderBy(order)) - 1
-    return leaves.withColumn("n", n).select(
+    numbered = position_rank(leaves, doc, order).withColumn("n", F.col("rank") - 1).drop("rank")
+    return numbered.select(
         "*", F.concat(F.lit("v"), F.col("n")).alias("leaf_id"), F.floor(F.col("n") / size).alias("chunk")
     )
 
