@@ -50,11 +50,13 @@ class TitleGroups:
         self.min_shared = min_shared
         self.max_posting = max_posting
         self.max_rounds = max_rounds
+        # Unnesting a one-element array keeps the size filters below from being
+        # pushed under the word splitting, which would then run twice per title.
         self.sets = items.select(
             "conflict",
             "pos",
             F.coalesce("ts_raw", F.lit("")).alias("ts_raw"),
-            F.array_sort(title_words(F.col("title"))).alias("words"),
+            F.explode(F.array(F.array_sort(title_words(F.col("title"))))).alias("words"),
         )
         self.reps = self._representatives()
         self.members = self._cliques(self._rarest_first())
@@ -183,23 +185,30 @@ class TitleGroups:
         )
 
     def _settle(self) -> DataFrame:
-        live = self.members
-        kept = None
-        for _ in range(self.max_rounds):
+        """``oid`` of the members that are kept.
+
+        Each round keeps the items that come first in all their cliques and
+        drops everyone else there.  Verdicts are checkpointed every round, the
+        shrinking rest every fourth.
+        """
+        live, kept = self.members, None
+        for step in range(self.max_rounds):
             if live.isEmpty():
                 return live.select("oid") if kept is None else kept
             heads = live.groupBy("clique").agg(F.min("oid").alias("head"))
-            winners = cut_lineage(
-                live.join(heads, "clique")
+            marked = live.join(heads, "clique").select("oid", "head")
+            is_head = F.col("oid") == F.col("head")
+            winners = marked.groupBy("oid").agg(F.bool_and(is_head).alias("won")).filter("won")
+            decided = cut_lineage(
+                marked.join(winners.select(F.col("oid").alias("head")), "head", "left_semi")
                 .groupBy("oid")
-                .agg(F.bool_and(F.col("oid") == F.col("head")).alias("first_everywhere"))
-                .filter("first_everywhere")
-                .select("oid")
+                .agg(F.bool_or(is_head).alias("kept"))
             )
-            won = heads.join(winners, heads["head"] == winners["oid"], "left_semi").select("clique")
-            decided = live.join(won, "clique", "left_semi").select("oid").distinct()
-            live = cut_lineage(live.join(decided, "oid", "left_anti"))
-            kept = winners if kept is None else kept.unionByName(winners)
+            won = decided.filter("kept").select("oid")
+            kept = won if kept is None else kept.unionByName(won)
+            live = live.join(decided, "oid", "left_anti")
+            if step % 4 == 3:
+                live = cut_lineage(live)
         raise RuntimeError(f"near-duplicate chains are longer than {self.max_rounds} rounds")
 
 
