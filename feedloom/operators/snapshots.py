@@ -11,13 +11,16 @@ from feedloom.sources.topics import (
     AUDITED_BASES,
     CHANNEL_BASE,
     DEFAULT_TTL_MS,
+    FEED_OF_BASE,
     FORCED_TTL_MS,
     ITEM_EXPIRY_HOURS,
     NEWEST_POST_MS,
     SNAPSHOT_BASES,
     SNAPSHOT_EXPIRY_HOURS,
     STANCE_TTL_MS,
+    STORE_EMPTY,
     TOPIC_KEYS,
+    UNSUFFIXED_LEGACY_KEYS,
 )
 
 # Item lists a snapshot may hold, in the order they are looked for.
@@ -172,6 +175,17 @@ def delete_keys(store: DataFrame, keys: DataFrame) -> DataFrame:
     return store.join(keys.select("function_name"), "function_name", "left_anti")
 
 
+def purge_keys(store: DataFrame, keys: tuple[str, ...] = UNSUFFIXED_LEGACY_KEYS) -> DataFrame:
+    """Drop a few fixed keys with a plain filter."""
+    return store.filter(~F.col("function_name").isin(*keys))
+
+
+def storable(refreshed: DataFrame) -> DataFrame:
+    """Refreshes to keep: those with items, and empty ones of feeds that store them."""
+    drops_empty = [base for base, feed in FEED_OF_BASE.items() if not STORE_EMPTY[feed]]
+    return refreshed.filter((F.col("n_items") > 0) | ~base_of(F.col("function_name")).isin(*drops_empty))
+
+
 def stale_fallback(fresh: DataFrame, stored: DataFrame, key: str = "function_name") -> DataFrame:
     """Fresh payload if there is one, else the stored one of any age, else empty."""
     new = fresh.select(key, F.col("payload").alias("new_payload"))

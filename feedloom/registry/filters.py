@@ -14,6 +14,7 @@ from feedloom.registry.core import query
 from feedloom.registry.views import (
     KNOWN_CHANNELS,
     NOW,
+    SNAP_CONTAINER_SQL,
     TODAY,
     now,
     sql_in,
@@ -118,7 +119,12 @@ def feed_newest_fresh(v):
     )
 
 
-@query("cache_nonempty", "select event_id, event_id % 6 <> 5 hit from events")
+@query(
+    "cache_nonempty",
+    f"""select event_id, coalesce(json_array_length(case container when 'array' then cast(response_data as json) else json_extract(response_data, '$.' || container) end), 0) > 0 hit
+    from (select *, {SNAP_CONTAINER_SQL} container from snaps)""",
+    ("snaps",),
+)
 def cache_nonempty(v):
     """A snapshot with an empty item list is no hit."""
     parsed = v.snaps().withColumn("payload", F.try_parse_json("response_data"))
@@ -126,6 +132,31 @@ def cache_nonempty(v):
     return parsed.select("event_id", F.coalesce(F.size(items) > 0, F.lit(False)).alias("hit"))
 
 
+@query(
+    "store_policy",
+    f"""select event_id from (select *, split_part(function_name, ':', 1) base, coalesce(json_array_length(
+        case container when 'array' then cast(response_data as json) else json_extract(response_data, '$.' || container) end), 0) n
+      from (select *, {SNAP_CONTAINER_SQL} container from snaps)) where n > 0 or base <> 'perplexity-osint'""",
+    ("snaps",),
+)
+def store_policy(v):
+    """Refreshes worth storing: some feeds keep an empty result, one does not."""
+    parsed = v.snaps().withColumn("payload", F.try_parse_json("response_data"))
+    items = sn.items_of(F.col("payload"), sn.container_of(F.col("payload"))).cast("array<variant>")
+    sized = parsed.withColumn("n_items", F.coalesce(F.size(items), F.lit(0)))
+    return sn.storable(sized).select("event_id")
+
+
+@query(
+    "legacy_key_purge",
+    "select event_id from snaps where function_name not in ('firecrawl-news', 'telegram-feed')",
+    ("snaps",),
+)
+def legacy_key_purge(v):
+    """Snapshots without those still stored under keys from before topics."""
+    return sn.purge_keys(v.snaps(), ("firecrawl-news", "telegram-feed")).select("event_id")
+
+
 @query(
     "urgent_or_all",
     f"""select conflict, pos, level from (select *, max(level in ('critical', 'high')) over (partition by conflict) any_urgent from (
@@ -308,7 +339,7 @@ def topic_relevance(v):
 @query(
     "payload_strip",
     """select event_id, cast(len(json_keys(response_data)) - case when json_exists(response_data, '$.cached_at') then 1 else 0 end as bigint) n_fields
-    from snaps where event_id % 6 <> 4""",
+    from snaps where json_type(response_data) = 'OBJECT'""",
     ("snaps",),
 )
 def payload_strip(v):

@@ -8,7 +8,7 @@ from feedloom.functions import json_values as js
 from feedloom.functions import labels, text, times
 from feedloom.operators.snapshots import LEGACY_CONTAINERS, base_of, container_of, suffix_of, wrap_payload
 from feedloom.registry.core import query
-from feedloom.registry.views import WS_SQL, sql_norm_severity, sql_ts, sql_words
+from feedloom.registry.views import SNAP_CONTAINER_SQL, WS_SQL, sql_norm_severity, sql_ts, sql_words
 
 
 @query(
@@ -105,10 +105,11 @@ def clean_summary(v):
 
 @query(
     "extract_json",
-    """select response_id, case wrap when 0 then 'whole' when 1 then 'fenced' when 2 then 'braces' when 4 then 'braces' else 'none' end stage,
-      case when wrap in (0, 1, 2, 4) then md5(json_extract_string(j, '$.stories[0].headline')) end headline
-    from story_json""",
-    ("story_json",),
+    r"""select response_id, stage, md5(json_extract_string(case stage when 'whole' then raw when 'fenced' then fenced when 'braces' then braces end, '$.stories[0].headline')) headline
+    from (select *, case when json_valid(raw) then 'whole' when json_valid(fenced) then 'fenced' when json_valid(braces) then 'braces' else 'none' end stage
+      from (select response_id, raw, regexp_extract(raw, '```(?:json)?\s*([\s\S]*?)```', 1) fenced,
+        substr(raw, instr(raw, '{'), length(raw) - instr(reverse(raw), '}') + 2 - instr(raw, '{')) braces from story_responses))""",
+    ("story_responses",),
 )
 def extract_json(v):
     """Recovery stage and recovered headline of every response."""
@@ -193,10 +194,9 @@ def format_ts(v):
 
 @query(
     "payload_container",
-    """select event_id, case event_id % 6 when 0 then 'items' when 1 then 'data' when 2 then 'stories' when 3 then 'messages'
-      when 4 then 'array' else 'items' end container,
-      case event_id % 6 when 0 then 'items' when 1 then 'data' when 4 then 'array' when 5 then 'items' else 'none' end legacy_container
-    from events""",
+    f"""select event_id, container, case when container in ('stories', 'messages') then 'none' else container end legacy_container
+    from (select event_id, {SNAP_CONTAINER_SQL} container from snaps)""",
+    ("snaps",),
 )
 def payload_container(v):
     """Where each snapshot keeps its items, with and without the newer names."""

@@ -94,6 +94,10 @@ _SNAP_LIST = (
 )
 _SNAP_TAIL = "case when cached_at is null then '' else ',\"cached_at\":\"' || cached_at || '\"' end || '}'"
 
+SNAP_CONTAINER_SQL = """case when json_type(response_data) = 'ARRAY' then 'array' when json_type(response_data, '$.items') = 'ARRAY' then 'items'
+      when json_type(response_data, '$.data') = 'ARRAY' then 'data' when json_type(response_data, '$.stories') = 'ARRAY' then 'stories'
+      when json_type(response_data, '$.messages') = 'ARRAY' then 'messages' else 'none' end"""
+
 # name -> (views it builds on, SQL)
 SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "items": (
@@ -156,12 +160,9 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """select event_id, function_name, container, pos - 1 pos, list_items[pos] item from (
         select event_id, function_name, container, list_items, unnest(generate_series(1, len(list_items))) pos from (
         select event_id, function_name,
-          case event_id % 6 when 0 then 'items' when 1 then 'data' when 2 then 'stories' when 3 then 'messages' when 4 then 'array' else 'items' end container,
-          from_json(case event_id % 6 when 0 then json_extract(response_data, '$.items') when 1 then json_extract(response_data, '$.data')
-            when 2 then json_extract(response_data, '$.stories') when 3 then json_extract(response_data, '$.messages')
-            when 4 then cast(response_data as json) else json_extract(response_data, '$.items') end,
-            '[{"headline":"VARCHAR","timestamp":"VARCHAR"}]') list_items
-        from snaps))""",
+          from_json(case container when 'array' then cast(response_data as json) else json_extract(response_data, '$.' || container) end,
+            '[{"headline":"VARCHAR","timestamp":"VARCHAR"}]') list_items, container
+        from (select *, """ + SNAP_CONTAINER_SQL + """ container from snaps)))""",
     ),
     "config": (
         (),

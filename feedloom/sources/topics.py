@@ -164,6 +164,13 @@ PROTECTED_KEYS = (
     "biasLeftLabel", "biasRightLabel", "biasCenterLabel",
     "timestamp", "last_updated", "cached_at", "url",
 )
+FEED_OF_BASE = {
+    "firecrawl-news": "news",
+    "analyst-curated": "analyst",
+    "perplexity-osint": "osint",
+    "telegram-feed": "messages",
+    "ai-summarize": "topics",
+}
 # Does a feed keep a refresh that found nothing?
 STORE_EMPTY = {"news": True, "analyst": True, "osint": False, "topics": True, "messages": True}
 # -----------------------------------------------------------------------------

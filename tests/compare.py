@@ -75,8 +75,8 @@ def main(argv: list[str]) -> int:
             print(f"ok    {name} {len(ours[1])} {spent:.1f}s", flush=True)
         else:
             bad += 1
-            extra = [r for r in ours[1] if r not in theirs[1]][:3]
-            missing = [r for r in theirs[1] if r not in ours[1]][:3]
+            extra = sorted(set(map(repr, ours[1])) - set(map(repr, theirs[1])))[:3]
+            missing = sorted(set(map(repr, theirs[1])) - set(map(repr, ours[1])))[:3]
             print(f"DIFF  {name} cols {ours[0]} vs {theirs[0]} rows {len(ours[1])} vs {len(theirs[1])}\n   ours {extra}\n   sql  {missing}", flush=True)
     return bad
 
