@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.labels import URGENT, norm_severity, severity_rank
 from feedloom.functions.text import APOLOGY_TITLE, PLACEHOLDER_TITLE, is_http_url, squeezed, trimmed
 from feedloom.functions.times import millis, parse_ts
-from feedloom.sources.topics import ALL, TOPIC_KEYS
+from feedloom.sources.topics import ALL, SOURCE_DOMAINS, TOPIC_KEYS
 
 
 def normalize_conflict(conflict: Column) -> Column:
@@ -55,7 +55,7 @@ def recency_window(items: DataFrame, now: Column, days: int, preferred_days: int
     return kept.withColumn("preferred", age <= preferred_days * day)
 
 
-def domain_filter(items: DataFrame, domains: tuple[str, ...]) -> DataFrame:
+def domain_filter(items: DataFrame, domains: tuple[str, ...] = SOURCE_DOMAINS) -> DataFrame:
     """Keep URLs whose host is one of ``domains`` or below one of them."""
     host = F.lower(F.try_parse_url(trimmed(F.col("url")), F.lit("HOST")))
     hit = F.lit(False)
@@ -155,8 +155,3 @@ def emit_envelope(items: DataFrame, group: str, container: str, fields: tuple[st
     return items.groupBy(group).agg(
         F.to_json(F.struct(bare.alias(container))).alias("payload"), F.count(F.lit(1)).alias("n_items")
     )
-
-
-def explode_variant_items(df: DataFrame, items: Column, *keep: str) -> DataFrame:
-    """Rows of a VARIANT array with their position, null when there is none."""
-    return df.select(*keep, F.posexplode_outer(items.cast("array<variant>")).alias("pos", "item"))

@@ -83,9 +83,9 @@ def items_of(payload: Column, container: Column, names: tuple[str, ...] = CONTAI
 
 
 def explode_snapshots(
-    snapshots: DataFrame, names: tuple[str, ...] = CONTAINERS, outer: bool = False, *keep: str
+    snapshots: DataFrame, names: tuple[str, ...] = CONTAINERS, keep: tuple[str, ...] = (), outer: bool = False
 ) -> DataFrame:
-    """Item rows of each snapshot with their position."""
+    """Item rows of each snapshot with their position; ``outer`` keeps empty snapshots."""
     parsed = snapshots.withColumn("payload", F.try_parse_json("response_data"))
     parsed = parsed.withColumn("container", container_of(F.col("payload"), names))
     items = items_of(F.col("payload"), F.col("container"), names).cast("array<variant>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.json_values import recover
@@ -48,7 +48,7 @@ def corpus(pages: DataFrame, sources: DataFrame, style: str) -> DataFrame:
     return assemble_corpus(texts.select("conflict", "rank", F.col("url").alias("source"), "text"), style)
 
 
-def channel_digest(halves: list[DataFrame], now: Column, k: int = LATEST_MESSAGES) -> DataFrame:
+def channel_digest(halves: list[DataFrame], k: int = LATEST_MESSAGES) -> DataFrame:
     """Messages of all halves, the newest ``k`` per topic."""
     merged = halves[0]
     for half in halves[1:]:

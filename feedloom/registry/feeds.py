@@ -9,7 +9,7 @@ from feedloom.operators.pages import split_halves
 from feedloom.plans import feeds as fd
 from feedloom.registry.aggregates import GREEDY_SQL, RANK_SQL
 from feedloom.registry.core import query
-from feedloom.registry.views import NOW_ISO, TODAY, now, pick, sql_norm_severity, sql_ts
+from feedloom.registry.views import NOW_ISO, TODAY, pick, sql_norm_severity, sql_ts
 from feedloom.sources.topics import ITEM_CAPS, LATEST_MESSAGES
 
 
@@ -36,7 +36,7 @@ def channel_digest(v):
     """Both halves of every topic's messages merged, the newest kept."""
     split = split_halves(v.messages())
     parts = [split.filter(F.col("half") == h).drop("half", "n", "rank") for h in (1, 2)]
-    return fd.channel_digest(parts, now()).select("conflict", "pos", "channel", "ts_raw")
+    return fd.channel_digest(parts).select("conflict", "pos", "channel", "ts_raw")
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import main_text
+from feedloom.functions.times import parse_ts
 from feedloom.operators import items as it
 from feedloom.operators import pages as pg
 from feedloom.operators import snapshots as sn
@@ -157,7 +158,7 @@ def envelope(v):
 )
 def snapshot_items(v):
     """Item rows of every snapshot payload."""
-    rows = sn.explode_snapshots(v.snaps(), sn.CONTAINERS, False, "event_id")
+    rows = sn.explode_snapshots(v.snaps(), keep=("event_id",))
     return rows.select("event_id", "function_name", "container", "pos", "title", "ts_raw")
 
 
@@ -181,8 +182,6 @@ def channel_lookup(v):
 )
 def stale_fallback(v):
     """Newest write of the last twelve hours per key, else an older one."""
-    from feedloom.functions.times import parse_ts
-
     snaps = v.snaps().withColumn("cached", parse_ts(F.col("cached_at")))
     cutoff = now() - F.expr("INTERVAL 12 HOURS")
 
@@ -243,7 +242,7 @@ def audit_report(v):
 def audit_job(v):
     """Snapshots after the audit: who is left, with how many items."""
     after, _ = audit(v.store(), now())
-    rows = sn.explode_snapshots(after, sn.CONTAINERS, True, "cached_at")
+    rows = sn.explode_snapshots(after, keep=("cached_at",), outer=True)
     return rows.groupBy("function_name", "cached_at").agg(F.count("item").alias("n_items"))
 
 
