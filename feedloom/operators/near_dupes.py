@@ -64,12 +64,15 @@ class TitleGroups:
 
     # -- results ---------------------------------------------------------------
 
+    def survivors(self) -> DataFrame:
+        """``(conflict, pos)`` of the kept items that have enough words to repeat."""
+        lost = self.members.select("oid").distinct().join(self.kept, "oid", "left_anti")
+        return self.reps.join(lost, "oid", "left_anti").select("conflict", "pos")
+
     def kept_positions(self) -> DataFrame:
         """``(conflict, pos)`` of every kept item."""
-        lost = self.members.select("oid").distinct().join(self.kept, "oid", "left_anti")
-        survivors = self.reps.join(lost, "oid", "left_anti").select("conflict", "pos")
         short = self.sets.filter(F.size("words") < self.min_shared).select("conflict", "pos")
-        return survivors.unionByName(short)
+        return self.survivors().unionByName(short)
 
     def absorbed(self) -> DataFrame:
         """Each dropped item with the first kept item it repeats and the number
@@ -214,8 +217,13 @@ class TitleGroups:
 
 def dedupe_titles(items: DataFrame, **options) -> DataFrame:
     """Items that survive greedy headline de-duplication."""
-    kept = TitleGroups(items, **options).kept_positions()
-    return items.join(kept, ["conflict", "pos"], "left_semi")
+    groups = TitleGroups(items, **options)
+    survivors = groups.survivors().withColumn("survives", F.lit(True))
+    # Too few words to repeat anything: decided on the row itself, not by a scan.
+    short = F.size(title_words(F.col("title"))) < groups.min_shared
+    return (
+        items.join(survivors, ["conflict", "pos"], "left").filter(F.col("survives") | short).drop("survives")
+    )
 
 
 def title_pairs(items: DataFrame, **options) -> DataFrame:

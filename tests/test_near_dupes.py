@@ -66,6 +66,9 @@ def test_not_transitive_and_ties(spark):
         ("t", 5, "2024-01-03", None),
     ]
     check(spark, rows)
+    kept, _ = one_by_one(rows)
+    survivors = dedupe_titles(spark.createDataFrame(rows, SCHEMA))
+    assert {(r.conflict, r.pos) for r in survivors.collect()} == kept and survivors.columns == ["conflict", "pos", "ts_raw", "title"]
 
 
 def test_template_titles_stay_linear(spark):
