@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.storage import stored
-from feedloom.llm.text_arrays import blocks
+from feedloom.llm.text_arrays import TO_LOWER, blocks
 
 WINDOW = 2048
 END_ID = 1
@@ -36,19 +36,53 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+# Byte classes between which the vocabulary's own splitting always cuts: letters, digits (each for
+# itself) and other marks. 0 never cuts: quotes (contractions), the brackets of special tokens, and
+# most bytes beyond ASCII.
+KINDS = np.zeros(256, np.uint8)
+KINDS[65:91] = KINDS[97:123] = 1
+KINDS[48:58] = 2
+KINDS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = 3
+
+
+def word_pieces(block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes; start, end and document of the pieces; which of them are of one kind."""
+    data = TO_LOWER[block.data]
+    kinds = KINDS[data]
+    # Letters U+00C0 to U+00FF, two bytes each; the signs for times and division are not letters.
+    lead = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7))
+    kinds[lead] = kinds[lead + 1] = 1
+    upper = lead[data[lead + 1] < 0x9F] + 1
+    data[upper] += 0x20
+    starts, ends, _ = block.words(data)
+    cuts = np.flatnonzero(((kinds[1:] != kinds[:-1]) | (kinds[1:] == 2)) & (kinds[1:] > 0) & (kinds[:-1] > 0)) + 1
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    some = starts < ends
+    starts, ends = starts[some], ends[some]
+    other = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(kinds == 0, out=other[1:])
+    return data, starts, ends, block.owner(starts), other[starts] == other[ends]
+
+
 class WordTokenizer:
     """Ids of whole texts through a bounded memory of the words met so far.
 
-    The vocabulary drops white space before it splits, so the ids of a text are
-    those of its words at ASCII white space in a row. Words are looked up by a
-    64-bit hash; the tokenizer itself sees each new word once. When ``most`` words
-    are remembered, the memory starts anew.
+    The vocabulary drops white space, lower-cases and cuts at letters, digits and
+    marks before it merges anything, so the ids of a text are those of its pieces
+    in a row. Pieces are looked up by a 64-bit hash; the tokenizer itself sees each
+    new piece once: plain ones (letters up to U+00FF, one digit, marks) go straight
+    to its merges, all others through the whole tokenizer. When ``most`` pieces are
+    remembered, the memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.model = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.most = most
         self._forget()
 
@@ -58,13 +92,22 @@ class WordTokenizer:
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+    def _ids(self, text: str, plain: bool) -> list[int]:
+        if plain:
+            return [t.id for t in self.merges.tokenize(text if text.isascii() else text.translate(self.as_bytes))]
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, keys: np.ndarray, pieces: list[tuple[str, bool]]) -> None:
         if len(self.keys) + len(keys) > self.most:
             self._forget()
-        found = [x.ids for x in self.model.encode_batch(words, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        begin = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))])
+        flat: list[int] = []
+        ends = []
+        for text, plain in pieces:
+            flat += self._ids(text, plain)
+            ends.append(len(flat))
+        count = np.diff(np.array(ends), prepend=0)
+        begin = len(self.ids) + np.array(ends) - count
+        self.ids = np.concatenate([self.ids, np.array(flat, np.uint32)])
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
         self.begin = np.insert(self.begin, at, begin)
@@ -72,22 +115,31 @@ class WordTokenizer:
 
     def encode(self, block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block, and how many each document has."""
-        starts, ends, owner = block.words()
-        hashes = block.hasher()(starts, ends)
+        data, starts, ends, owner, plain = word_pieces(block)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(block.n_docs, np.int64)
+        # The other pieces keep their letters as they are: special tokens are found before lowering.
+        hashes = np.where(plain, block.hasher(data)(starts, ends), block.hasher(None, 1)(starts, ends))
         keys, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             before = len(self.keys)
-            raw = block.data.tobytes()
-            text = lambda k: raw[starts[first[k]] : ends[first[k]]].decode()
-            self._learn(keys[new], [text(k) for k in new])
+            low, raw = data.tobytes(), block.data.tobytes()
+
+            def pieces(some: np.ndarray) -> list[tuple[str, bool]]:
+                rows = first[some]
+                return [
+                    ((low if p else raw)[i:j].decode(), p)
+                    for i, j, p in zip(starts[rows].tolist(), ends[rows].tolist(), plain[rows].tolist())
+                ]
+
+            self._learn(keys[new], pieces(new))
             if len(self.keys) < before + len(new):  # the memory was emptied: the others are new again
                 rest = np.setdiff1d(np.arange(len(keys)), new)
-                self._learn(keys[rest], [text(k) for k in rest])
+                if len(rest):
+                    self._learn(keys[rest], pieces(rest))
             at = np.searchsorted(self.keys, keys)
-        if not len(keys):
-            return np.zeros(0, np.uint32), np.zeros(block.n_docs, np.int64)
         count = self.count[at][which]
         begin = self.begin[at][which]
         total = np.cumsum(count)
@@ -104,7 +156,7 @@ def tokenise(path: str, end_id: int = END_ID):
         for batch in batches:
             if path not in _MODELS:
                 _MODELS[path] = WordTokenizer(path)
-            for block in blocks(batch.column("text"), 1 << 22):
+            for block in blocks(batch.column("text")):
                 ids, counts = _MODELS[path].encode(block)
                 stops = np.cumsum(counts)
                 with_end = np.insert(ids, stops, end_id).astype("<u4")
