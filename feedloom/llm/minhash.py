@@ -4,8 +4,8 @@ One hash of each shingle fills all bins of a signature; empty bins are filled by
 optimal densification (Shrivastava 2017). Equal sets are one class and take part
 once. In every bucket of a band the members are compared with the smallest one
 only; links are confirmed on the full sets. A bucket that still holds several
-components afterwards is compared block by block inside tasks, which writes only
-the pairs whose signatures agree, so that no link is lost to the star shape.
+components afterwards is compared block by block inside tasks, which write only
+confirmed links, so that no link is lost to the star shape.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BINS = 1 << BITS
 ROWS = 4  # of a band: a pair of similarity 0.75 misses all 32 bands with probability 5e-6
 BANDS = BINS // ROWS
 PERCENT = 75
-BLOCK = 1000  # members of a bucket that one task compares with as many others
+BLOCK = 512  # members of a bucket that one task compares with as many others
 # Equal bins of a pair at the threshold: 96 on average, deviation 4.9; 4.5 deviations below.
 AGREE = 74
 
@@ -135,22 +135,38 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _agreeing_pairs(group: pa.Table) -> pa.Table:
-    """Pairs of different components in a block whose bins agree often enough."""
-    columns = [group.column(c).to_numpy() for c in ("node", "component", "mine")]
-    node, component, mine = columns
+def _links_in_block(group: pa.Table) -> pa.Table:
+    """Links between components in a block of a bucket, compared with the full sets.
+
+    Only pairs whose bins agree often enough are compared, and each pair only in
+    the first band that it shares, however many buckets it meets in.
+    """
+    node, component, mine = (group.column(c).to_numpy() for c in ("node", "component", "mine"))
+    bucket = group.column("bucket")[0].as_py()
     bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-    left, right = np.flatnonzero(mine), np.arange(len(node))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
+    band = int(np.flatnonzero((bands == bucket).any(0)).min(initial=BANDS))
+    sets = group.column("shingles").combine_chunks()
+    ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+    sizes = np.diff(ends)
+    left = np.flatnonzero(mine)
+    links = []
     for i in range(0, len(left), 32):
         some = left[i : i + 32]
         same = (bins[some][:, None, :] == bins[None, :, :]).sum(2)
-        r, c = np.nonzero((same >= AGREE) & (component[some][:, None] != component[None, :]))
-        found.append((node[some[r]], node[right[c]]))
-    u = np.concatenate([np.minimum(a, b) for a, b in found] or [np.zeros(0, np.int64)])
-    v = np.concatenate([np.maximum(a, b) for a, b in found] or [np.zeros(0, np.int64)])
-    pairs = np.unique(np.stack([u, v], 1), axis=0)
-    return pa.table({"u": pa.array(pairs[:, 0], pa.int64()), "v": pa.array(pairs[:, 1], pa.int64())})
+        near = np.minimum(sizes[some][:, None], sizes[None, :]) * 100 >= PERCENT * np.maximum(sizes[some][:, None], sizes[None, :])
+        r, c = np.nonzero((same >= AGREE) & near & (component[some][:, None] != component[None, :]))
+        r = some[r]
+        first = ~(bands[r][:, :band] == bands[c][:, :band]).any(1)
+        for a, b in zip(r[first], c[first]):
+            if mine[a] and mine[b] and node[a] > node[b]:
+                continue  # the same pair is met from the other side
+            x, y = flat[ends[a] : ends[a + 1]], flat[ends[b] : ends[b + 1]]
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            common = int(np.count_nonzero(y[at] == x))
+            if 100 * common >= PERCENT * (len(x) + len(y) - common):
+                links.append((min(node[a], node[b]), max(node[a], node[b])))
+    return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,15 +227,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(_confirm(stars, sets).unionByName(repeated), "links")
     found = stored(components(links), "components")
 
-    rest = _unsettled_pairs(banded, own.select("node", "bins"), stars, found)
-    late = stored(_confirm(rest, sets), "links")
+    late = stored(_late_links(banded, own, sets, stars, found), "links")
     if late.limit(1).count():
         found = stored(components(links.unionByName(late)), "components")
     return _with_components(signed, members, found)
 
 
-def _unsettled_pairs(banded: DataFrame, bins: DataFrame, stars: DataFrame, found: DataFrame) -> DataFrame:
-    """``u, v``: agreeing pairs of different components that share a bucket and were not compared yet."""
+def _late_links(banded: DataFrame, own: DataFrame, sets: DataFrame, stars: DataFrame, found: DataFrame) -> DataFrame:
+    """``u, v``: links between different components that share a bucket, its star apart."""
     starred = stars.select(F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("node"))).distinct()
     placed = (
         banded.join(starred, "node", "left_semi")
@@ -237,14 +252,15 @@ def _unsettled_pairs(banded: DataFrame, bins: DataFrame, stars: DataFrame, found
         "bucket", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "node", "component",
         (F.col("spot") <= F.col("other")).alias("mine"),
     )
-    signed = bins.groupBy("node").agg(F.first("bins").alias("bins"))
-    pairs = (
-        paired.join(signed, "node")
+    # One row a node; rows of one doc_id with several texts were united before.
+    full = own.select("node", "bins", "bands").join(sets, "node").groupBy("node")
+    full = full.agg(*[F.first(c).alias(c) for c in ("bins", "bands", "shingles")])
+    return (
+        paired.join(full, "node")
         .groupBy("bucket", "i", "j")
-        .applyInArrow(_agreeing_pairs, "u long, v long")
+        .applyInArrow(_links_in_block, "u long, v long")
         .distinct()
     )
-    return stored(pairs.join(stars, ["u", "v"], "left_anti"), "late-pairs")
 
 
 def _with_components(signed: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:

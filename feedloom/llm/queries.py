@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from feedloom.llm import line_dedup, minhash, mixing, packing, quality_mil, weak_rules
+from feedloom.llm import license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, suffix_dedup, tool_calls, weak_rules
 from feedloom.llm.storage import ready
 from feedloom.sources.tables import read_table
 
@@ -44,12 +45,31 @@ def op1(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+@llm_query("op2_license_scan")
+def op2(spark: SparkSession, base: str) -> DataFrame:
+    """Every licence notice in every document, with coverage and span."""
+    return license_scan.scan_licenses(read_table(spark, base, "documents", "doc_id", "text"))
+
+
 @llm_query("op3_weak_rules")
 def op3(spark: SparkSession, base: str) -> DataFrame:
     """Counts, votes and the posterior verdict for every document."""
     return weak_rules.quality_rules(read_table(spark, base, "documents", "doc_id", "text"))
 
 
+@llm_query("op4_suffix_dedup")
+def op4(spark: SparkSession, base: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    return suffix_dedup.span_digests(read_table(spark, base, "documents", "doc_id", "text"))
+
+
+@llm_query("op5_tool_calls")
+def op5(spark: SparkSession, base: str) -> DataFrame:
+    """Calls and results that all conversations make, linked, ordered and judged."""
+    turns = read_table(spark, base, "conversations")
+    return tool_calls.link_calls(*tool_calls.from_conversations(turns), tool_calls.SCHEMAS)
+
+
 @llm_query("op6_packing")
 def op6(spark: SparkSession, base: str) -> DataFrame:
     """Every document's pieces in windows of 2048 tokens."""
@@ -148,6 +168,13 @@ def op9(spark: SparkSession, base: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, base, "documents", "doc_id", "text"))
 
 
+@llm_query("op10_lsh_ann")
+def op10(spark: SparkSession, base: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth vector."""
+    vectors = read_table(spark, base, "embeddings", "vec_id", "embedding")
+    return lsh_ann.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
 @llm_query("pipeline")
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     """Classifier, line dedup, near-dedup, mixing and packing, one after the other."""

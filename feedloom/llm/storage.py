@@ -14,6 +14,8 @@ BATCH_ROWS = "512"
 def ready(spark: SparkSession) -> SparkSession:
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    # Steps end in stored tables, so a step's shuffle files are of no use after it.
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
