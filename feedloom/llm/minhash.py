@@ -215,8 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = stored(own.select("node", F.explode("bands").alias("bucket")), "buckets")
 
     centres = banded.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u < top")
-    stars = banded.join(centres.drop("top"), "bucket").where("u != node")
-    stars = stored(stars.select("u", F.col("node").alias("v")).distinct(), "stars")
+    stars = banded.join(centres.drop("top"), "bucket").where("u != node").groupBy("u", F.col("node").alias("v"))
+    stars = stored(stars.agg(F.count("*").alias("n")), "stars")
 
     wanted = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
     sets = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_set_rows, "node long, shingles array<long>")
@@ -224,7 +224,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     ids = members.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v")
     repeated = members.join(ids.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")).where("u != v")
-    links = stored(_confirm(stars, sets).unionByName(repeated), "links")
+    # The centre that a member meets most often comes first; once that has settled most members,
+    # only stars between different components are left to confirm.
+    likely = stars.groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("u"))).alias("m"))
+    likely = likely.select((-F.col("m.u")).alias("u"), "v")
+    links = stored(_confirm(likely, sets).unionByName(repeated), "links")
+    others = _across(stars.select("u", "v").join(likely, ["u", "v"], "left_anti"), components(links))
+    links = stored(links.unionByName(_confirm(others, sets)), "links")
     found = stored(components(links), "components")
 
     late = stored(_late_links(banded, own, sets, stars, found), "links")
@@ -233,6 +239,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return _with_components(signed, members, found)
 
 
+def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose two nodes are in different components."""
+    ends = found.select("node", "component")
+    left = pairs.join(ends.toDF("u", "cu"), "u", "left").join(ends.toDF("v", "cv"), "v", "left")
+    return left.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v")
+
+
 def _late_links(banded: DataFrame, own: DataFrame, sets: DataFrame, stars: DataFrame, found: DataFrame) -> DataFrame:
     """``u, v``: links between different components that share a bucket, its star apart."""
     starred = stars.select(F.col("v").alias("node")).unionByName(stars.select(F.col("u").alias("node"))).distinct()
