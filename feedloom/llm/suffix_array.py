@@ -23,12 +23,12 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     head = np.zeros(n, np.uint64)
     for k in range(length):
         head = (head << np.uint64(9)) | padded[k : n + k]
-    order = np.argsort(head, kind="stable")
+    order = np.argsort(head, kind="stable").astype(np.int32)
     new = np.ones(n, bool)
     new[1:] = head[order[1:]] != head[order[:-1]]
-    rank = np.empty(n + 1, np.int64)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1  # beyond the end
-    starts = np.flatnonzero(new)
+    starts = np.flatnonzero(new).astype(np.int32)
     group = np.repeat(starts, np.diff(np.append(starts, n)))  # a group is named by its first place
     rank[order] = group
     while True:
@@ -39,17 +39,17 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             break
         own = order[places]
         ahead = rank[np.minimum(own + length, n)]
-        sub = np.argsort((group[places] << 32) + ahead)  # places stay under 2 ** 31
+        sub = np.argsort((group[places].astype(np.int64) << 32) + ahead)  # places stay under 2 ** 31
         order[places] = own[sub]
         ahead = ahead[sub]
         split = np.zeros(len(places), bool)
         split[1:] = ahead[1:] != ahead[:-1]
         new[places[split]] = True
-        starts = np.flatnonzero(new)
+        starts = np.flatnonzero(new).astype(np.int32)
         group = np.repeat(starts, np.diff(np.append(starts, n)))
         rank[order[places]] = group[places]
         length *= 2
-    return order
+    return order.astype(np.int64)
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:

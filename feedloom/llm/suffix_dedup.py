@@ -29,6 +29,8 @@ from feedloom.llm.text_arrays import Block, as_long, blocks
 MATCH = 50
 ANCHOR = 20
 SIDE = MATCH - ANCHOR
+HOT = 1 << 16  # rows of an anchor that is cut at shard borders
+SAMPLE = 0.01
 SHARD = 1 << 20  # bytes of distinct contexts in one suffix array
 BLOCK = 1 << 19
 
@@ -293,14 +295,25 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = keyed_texts(docs).where(F.col("doc_id").isNotNull())
-    dealt = texts.select("doc_id", "text").mapInArrow(_deal_anchors(parts), HASHES)
+    dealt = texts.select("doc_id", "text").mapInArrow(_deal_anchors(2 * parts), HASHES)
     shared = stored(dealt.groupBy("bucket").applyInArrow(_shared_hashes, "doc_id long, hashes binary"), "shared")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))  # of one document
     contexts = stored(
         texts.join(by_doc.hint("shuffle_hash"), "doc_id").mapInArrow(_context_rows, CONTEXTS), "contexts"
     )
-    order = ["anchor", "context", "doc"]
-    sorted_contexts = contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Only anchors with very many rows are cut at shard borders; a sample finds them, and what it
+    # misses stays in one shard. The result doesn't depend on it.
+    common = contexts.sample(SAMPLE, seed=3).groupBy("anchor").count().where(F.col("count") >= SAMPLE * HOT)
+    common = stored(common.select(F.col("anchor").alias("hot")), "hot-anchors")
+    if common.limit(10_001).count() <= 10_000:
+        common = F.broadcast(common)
+    hot = F.col("hot").isNotNull()
+    sorted_contexts = (
+        contexts.join(common, F.col("anchor") == F.col("hot"), "left")
+        .repartitionByRange(parts, "anchor", F.when(hot, F.col("context")), F.when(hot, F.col("doc")))
+        .drop("hot")
+        .sortWithinPartitions("anchor", "context", "doc")
+    )
     matches = stored(sorted_contexts.mapInArrow(_match_shards, MATCHES), "matches")
     border = matches.where(F.col("kind") == BORDER).select("doc", "text_key", "first", "last", "window")
     merged = border.repartitionByRange(parts, "window").sortWithinPartitions("window").mapInArrow(_merge_borders, MATCHES)
