@@ -159,12 +159,12 @@ def _notices(block, template, hashes, starts, ends, owner, doc, begins, coverage
     text = hashes[first:last]
     done = -1
     for begin in sorted(set(begins)):
-        if begin <= done:  # the notice before has this candidate in its band
+        if begin <= done:  # it begins inside the notice before
             continue
         found = align(template, text, begin - int(first))
         if len(found) < coverage * len(template):
             continue
-        done = begin + BAND
+        done = int(first) + found[-1]
         a, b = starts[first + found[0]], ends[first + found[-1]]
         points = (block.data[block.offsets[doc] : b] & 0xC0) != 0x80
         start = int(points[: a - block.offsets[doc]].sum())
@@ -179,8 +179,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     part of a longer one is reported beside it.
 
     Nulls: a null or empty text has no notices; a null doc_id stays null. Repeated
-    rows are reported each. Notices of one template whose starts lie within BAND
-    words are one. An empty table gives no rows. Other columns are ignored.
+    rows are reported each. Of notices of one template that overlap the first
+    counts. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(scan(templates or TEMPLATES, coverage), FOUND)

@@ -71,8 +71,8 @@ class WordTokenizer:
     marks before it merges anything, so the ids of a text are those of its pieces
     in a row. Pieces are looked up by a 64-bit hash; the tokenizer itself sees each
     new piece once: plain ones (letters up to U+00FF, one digit, marks) go straight
-    to its merges, all others through the whole tokenizer. When ``most`` pieces are
-    remembered, the memory starts anew.
+    to its merges, all others through the whole tokenizer. Beyond ``most`` pieces
+    the memory starts anew.
     """
 
     def __init__(self, path: str, most: int = 1_500_000):
@@ -98,8 +98,6 @@ class WordTokenizer:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, keys: np.ndarray, pieces: list[tuple[str, bool]]) -> None:
-        if len(self.keys) + len(keys) > self.most:
-            self._forget()
         flat: list[int] = []
         ends = []
         for text, plain in pieces:
@@ -124,7 +122,9 @@ class WordTokenizer:
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            before = len(self.keys)
+            if len(self.keys) + len(new) > self.most:
+                self._forget()
+                new = np.arange(len(keys))
             low, raw = data.tobytes(), block.data.tobytes()
 
             def pieces(some: np.ndarray) -> list[tuple[str, bool]]:
@@ -135,10 +135,6 @@ class WordTokenizer:
                 ]
 
             self._learn(keys[new], pieces(new))
-            if len(self.keys) < before + len(new):  # the memory was emptied: the others are new again
-                rest = np.setdiff1d(np.arange(len(keys)), new)
-                if len(rest):
-                    self._learn(keys[rest], pieces(rest))
             at = np.searchsorted(self.keys, keys)
         count = self.count[at][which]
         begin = self.begin[at][which]
