@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,18 +19,8 @@ LATIN_DIGITS = "0123456789"
 HTTP_URL = r"(?i)^https?://"
 ISO_DATE_PREFIX = r"^\d{4}-\d{2}-\d{2}"
 LIMITATION_PHRASES = (
-    "only found",
-    "couldn't find",
-    "couldnt find",
-    "limited results",
-    "not enough",
-    "fewer than",
-    "unable to find",
-    "unable to retrieve",
-    "unable to locate",
-    "no results",
-    "no search results",
-    "could not find",
+    "only found|couldn'?t find|limited results|not enough|fewer than|unable to (find|retrieve|locate)|"
+    "no (search )?results|could not find"
 )
 PLACEHOLDER_TITLE = r"(?i)(no recent|no data|not available)"
 APOLOGY_TITLE = r"(?i)(no .*(reports?|results?|data) available|unable to retrieve|couldn'?t find)"
@@ -98,8 +87,7 @@ def title_words(title: Column) -> Column:
 
 
 def mentions_limits(text: Column) -> Column:
-    lowered = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(lowered, F.lit(p)) for p in LIMITATION_PHRASES])
+    return F.rlike(text, F.lit(f"(?i){LIMITATION_PHRASES}"))
 
 
 def clean_summary(summary: Column) -> Column:

@@ -31,6 +31,11 @@ def cost_totals(log: DataFrame) -> DataFrame:
 
 
 def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
-    """Cost of each call from the price list; unknown models cost nothing."""
-    cost = (F.col("units") * F.coalesce("unit_price", F.lit(0).cast("decimal(18,6)"))).cast("decimal(18,6)")
+    """Cost of each call from the price list.
+
+    A model that the list does not know keeps the ``cost_usd`` it was logged with,
+    or null where there is none: unknown is not free.
+    """
+    logged = F.col("cost_usd") if "cost_usd" in calls.columns else F.lit(None)
+    cost = F.coalesce(F.col("units") * F.col("unit_price"), logged).cast("decimal(18,6)")
     return calls.join(prices, ["provider", "model"], "left").withColumn("cost_usd", cost).drop("unit_price")

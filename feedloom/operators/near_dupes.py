@@ -45,11 +45,9 @@ class TitleGroups:
         items: DataFrame,
         min_shared: int = MIN_SHARED,
         max_posting: int = MAX_POSTING,
-        max_rounds: int = 200,
     ):
         self.min_shared = min_shared
         self.max_posting = max_posting
-        self.max_rounds = max_rounds
         # Unnesting a one-element array keeps the size filters below from being
         # pushed under the word splitting, which would then run twice per title.
         self.sets = items.select(
@@ -191,13 +189,12 @@ class TitleGroups:
         """``oid`` of the members that are kept.
 
         Each round keeps the items that come first in all their cliques and
-        drops everyone else there.  Verdicts are checkpointed every round, the
+        drops everyone else there; the first live item is among them, so rounds
+        end, however long a chain of repeats is.  Verdicts are checkpointed every round, the
         shrinking rest every fourth.
         """
-        live, kept = self.members, None
-        for step in range(self.max_rounds):
-            if live.isEmpty():
-                return live.select("oid") if kept is None else kept
+        live, kept, step = self.members, None, 0
+        while not live.isEmpty():
             heads = live.groupBy("clique").agg(F.min("oid").alias("head"))
             marked = live.join(heads, "clique").select("oid", "head")
             is_head = F.col("oid") == F.col("head")
@@ -210,9 +207,10 @@ class TitleGroups:
             won = decided.filter("kept").select("oid")
             kept = won if kept is None else kept.unionByName(won)
             live = live.join(decided, "oid", "left_anti")
-            if step % 4 == 3:
-                live = cut_lineage(live)
-        raise RuntimeError(f"near-duplicate chains are longer than {self.max_rounds} rounds")
+            step += 1
+            if step % 4 == 0:
+                live, kept = cut_lineage(live), cut_lineage(kept)
+        return live.select("oid") if kept is None else kept
 
 
 def dedupe_titles(items: DataFrame, **options) -> DataFrame:

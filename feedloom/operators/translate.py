@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.text import is_translatable, latin_digits, trimmed
 from feedloom.operators.pages import position_rank
+from feedloom.session import cut_lineage
 from feedloom.sources.topics import LEAVES_PER_CHUNK, PAYLOAD_LIMIT, PROTECTED_KEYS
 
 
@@ -30,17 +31,34 @@ def _steps(node: Column) -> Column:
     return F.when(kind.startswith("ARRAY"), elements).when(kind.startswith("OBJECT"), entries)
 
 
-def json_leaves(docs: DataFrame, doc: str, json_col: str, max_depth: int = 6) -> DataFrame:
+def json_leaves(docs: DataFrame, doc: str, json_col: str, step: int = 6) -> DataFrame:
     """Every translatable string of a JSON document with its path.
 
     One scan: each step unnests the containers one level and lets finished
-    scalars pass.  A protected key drops its whole subtree.  Nesting below
-    ``max_depth`` raises an error instead of being left out.
+    scalars pass.  A protected key drops its whole subtree.  While containers are
+    left after ``step`` levels, the rows are checkpointed and unnested further;
+    only documents with more than ``step`` brackets can need that.
     """
     rows = docs.select(
         doc, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_col).alias("node")
     )
-    for _ in range(max_depth):
+    may_be_deep = F.length(json_col) - F.length(F.translate(json_col, "{[", "")) > step
+    rows = _unnest(rows, doc, step)
+    if not docs.filter(may_be_deep).isEmpty():
+        while not rows.filter(_is_container(F.col("node"))).isEmpty():
+            rows = _unnest(cut_lineage(rows), doc, step)
+    text = F.when(F.schema_of_variant("node") == "STRING", F.try_variant_get("node", "$", "string"))
+    leaves = rows.select(doc, F.array_join("path", ".").alias("path"), text.alias("value"))
+    return leaves.filter(is_translatable(F.col("value")))
+
+
+def _is_container(node: Column) -> Column:
+    kind = F.schema_of_variant(node)
+    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
+
+
+def _unnest(rows: DataFrame, doc: str, levels: int) -> DataFrame:
+    for _ in range(levels):
         passed = F.array(F.struct(F.lit(None).cast("string").alias("step"), F.col("node")))
         rows = rows.select(doc, "path", F.explode(F.coalesce(_steps(F.col("node")), passed)).alias("part")).select(
             doc,
@@ -49,13 +67,7 @@ def json_leaves(docs: DataFrame, doc: str, json_col: str, max_depth: int = 6) ->
             .alias("path"),
             F.col("part.node").alias("node"),
         )
-    kind = F.schema_of_variant("node")
-    too_deep = F.raise_error(F.lit(f"JSON nested deeper than {max_depth}")).cast("string")
-    text = F.when(kind == "STRING", F.try_variant_get("node", "$", "string")).when(
-        kind.startswith("OBJECT") | kind.startswith("ARRAY"), too_deep
-    )
-    leaves = rows.select(doc, F.array_join("path", ".").alias("path"), text.alias("value"))
-    return leaves.filter(is_translatable(F.col("value")))
+    return rows
 
 
 def field_leaves(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:

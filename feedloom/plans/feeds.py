@@ -37,13 +37,14 @@ def fields_of(rows: DataFrame, fields: dict[str, str], *keep: str) -> DataFrame:
 
 
 def corpus(pages: DataFrame, sources: DataFrame, style: str) -> DataFrame:
-    """Prompt text per topic from its first few landed sources.
+    """Prompt text per topic from its first few landed sources, or from all its channels.
 
     ``pages`` is ``(url, html)``, ``sources`` ``(conflict, pos, url)``.  Sources
-    are ranked before pages are read, so only pages in use cross the join.
+    are ranked before pages are read, so only pages in use cross the join.  The
+    curated channels of a topic are few and all of them are read.
     """
     n, mode = (CHANNEL_TAIL_CHARS, "tail") if style == "channel" else (HEAD_CHARS[style], "head")
-    chosen = first_sources(sources, SOURCES_PER_TOPIC)
+    chosen = first_sources(sources, None if style == "channel" else SOURCES_PER_TOPIC)
     texts = load_pages(pages.join(chosen, "url"), n, mode)
     return assemble_corpus(texts.select("conflict", "rank", F.col("url").alias("source"), "text"), style)
 

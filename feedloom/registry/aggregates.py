@@ -79,18 +79,20 @@ def cost_defaults(v):
 
 @query(
     "priced_calls",
-    """select provider, model, count(*) calls, cast(sum(units * price) as double) cost_usd from (
-      select *, cast(case model when 'scrape' then 0.0015 when 'sonar' then 0.005 when 'sonar-pro' then 0.015 when 'gemini-flash' then 0.0008 else 0 end as decimal(18,6)) price
-      from (select case event_id % 5 when 0 then 'firecrawl' when 1 then 'perplexity' when 2 then 'perplexity' when 3 then 'google_ai' else 'other' end provider,
-        case event_id % 5 when 0 then 'scrape' when 1 then 'sonar' when 2 then 'sonar-pro' when 3 then 'gemini-flash' else 'none' end model,
-        1 + user_id % 4 units from events)) group by 1, 2""",
+    """with models as (select * from (values (0, 'firecrawl', 'scrape', 0.0015), (1, 'perplexity', 'sonar', 0.005),
+        (2, 'perplexity', 'sonar-pro', 0.015), (3, 'google_ai', 'gemini-flash', 0.0008), (4, 'other', 'none', null),
+        (5, 'firecrawl', 'scrape-v1', 0.0015), (6, 'google_ai', 'google/gemini-2.5-flash', 0.0008)) m(e, provider, model, price))
+    select provider, model, count(*) calls, cast(sum((1 + user_id % 4) * cast(price as decimal(18,6))) as double) cost_usd
+    from events join models on event_id % 7 = e group by 1, 2""",
 )
 def priced_calls(v):
-    """Cost per provider and model, from the price list."""
-    e = F.col("event_id") % 5
+    """Cost per provider and model, from the price list; null where a model has no price."""
+    e = F.col("event_id") % 7
+    providers = ("firecrawl", "perplexity", "perplexity", "google_ai", "other", "firecrawl", "google_ai")
+    models = ("scrape", "sonar", "sonar-pro", "gemini-flash", "none", "scrape-v1", "google/gemini-2.5-flash")
     calls = v.table("events", "event_id", "user_id").select(
-        pick(("firecrawl", "perplexity", "perplexity", "google_ai", "other"), e).alias("provider"),
-        pick(("scrape", "sonar", "sonar-pro", "gemini-flash", "none"), e).alias("model"),
+        pick(providers, e).alias("provider"),
+        pick(models, e).alias("model"),
         (F.lit(1) + F.col("user_id") % 4).cast("decimal(18,6)").alias("units"),
     )
     priced = price_calls(calls, prices(v.spark))

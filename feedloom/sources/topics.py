@@ -127,9 +127,11 @@ LABELS_AR = (
 # provider, model tier, USD per call
 PRICES = (
     ("firecrawl", "scrape", "0.0015"),
+    ("firecrawl", "scrape-v1", "0.0015"),
     ("perplexity", "sonar", "0.005"),
     ("perplexity", "sonar-pro", "0.015"),
     ("google_ai", "gemini-flash", "0.0008"),
+    ("google_ai", "google/gemini-2.5-flash", "0.0008"),
 )
 SOURCES_PER_TOPIC = 4
 HEAD_CHARS = {"news": 2000, "topics": 3000}

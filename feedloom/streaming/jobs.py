@@ -29,10 +29,18 @@ def force_once(requests: DataFrame) -> DataFrame:
     return requests.dropDuplicates(["session", "panel", "conflict"])
 
 
-def late_item_cleanup(items: DataFrame, ts: str = "ts", hours: int = ITEM_EXPIRY_HOURS) -> DataFrame:
-    """Drop items behind the event-time watermark and repeats inside it."""
+def late_item_cleanup(
+    items: DataFrame, ts: str = "ts", hours: int = ITEM_EXPIRY_HOURS, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """Drop repeats inside the event-time watermark, within each feed that ``by`` names.
+
+    Items behind the watermark go too.  An item without identity repeats nothing
+    and is always kept.
+    """
     keyed = items.withColumn("identity", identity_key(F.col("url"), F.col("title"), F.col("body")))
-    return keyed.withWatermark(ts, f"{hours} hours").dropDuplicatesWithinWatermark(["identity"])
+    blank = F.coalesce(F.col("identity"), F.lit("")) == ""
+    known = keyed.filter(~blank).withWatermark(ts, f"{hours} hours")
+    return known.dropDuplicatesWithinWatermark([*by, "identity"]).unionByName(keyed.filter(blank))
 
 
 def cost_sink(rows: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

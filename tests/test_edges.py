@@ -290,8 +290,30 @@ def test_leaves_and_depth(spark):
     df = spark.createDataFrame([(1, doc), (2, '"Top level"'), (3, "not json")], "doc INT, j STRING")
     got = {(r.doc, r.path): r.value for r in tr.json_leaves(df, "doc", "j").collect()}
     assert got == {(1, "a"): "Hello", (1, "b.0.c"): "Deep one", (1, "b.1"): "x y", (2, ""): "Top level"}
-    with pytest.raises(Exception, match="nested deeper"):
-        tr.json_leaves(df, "doc", "j", max_depth=1).collect()
+    deep = spark.createDataFrame([(1, '{"k":' * 15 + '"At the end"' + "}" * 15), (2, doc)], "doc INT, j STRING")
+    found = {(r.doc, r.path): r.value for r in tr.json_leaves(deep, "doc", "j", step=2).collect()}
+    assert found == {(1, ".".join("k" * 15)): "At the end", (2, "a"): "Hello", (2, "b.0.c"): "Deep one", (2, "b.1"): "x y"}
+
+
+def test_channel_corpus_reads_all_channels(spark):
+    from feedloom.plans.feeds import corpus
+
+    pages = spark.createDataFrame([(f"u{i}", f"<p>post {i}</p>") for i in range(11)], "url STRING, html STRING")
+    sources = spark.createDataFrame([("t", i, f"u{i}") for i in range(11)], "conflict STRING, pos INT, url STRING")
+    assert corpus(pages, sources, "channel").first().n_sources == 11
+    assert corpus(pages, sources, "news").first().n_sources == 4
+
+
+def test_unknown_models_are_not_free(spark):
+    from feedloom.operators.costs import price_calls
+    from feedloom.sources.topics import prices
+
+    calls = spark.createDataFrame(
+        [("firecrawl", "scrape-v1", 2, None), ("google_ai", "google/gemini-2.5-flash", 1, None), ("x", "y", 1, None), ("x", "z", 1, 0.5)],
+        "provider STRING, model STRING, units INT, cost_usd DOUBLE",
+    )
+    got = {r.model: None if r.cost_usd is None else float(r.cost_usd) for r in price_calls(calls, prices(spark)).select("model", "cost_usd").collect()}
+    assert got == {"scrape-v1": 0.003, "google/gemini-2.5-flash": 0.0008, "y": None, "z": 0.5}
 
 
 def test_alert_rules(spark):
