@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.session import small_side
+
 
 def _total() -> list:
     zero = F.lit(0).cast("decimal(18,6)")
@@ -38,4 +40,4 @@ def price_calls(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """
     logged = F.col("cost_usd") if "cost_usd" in calls.columns else F.lit(None)
     cost = F.coalesce(F.col("units") * F.col("unit_price"), logged).cast("decimal(18,6)")
-    return calls.join(prices, ["provider", "model"], "left").withColumn("cost_usd", cost).drop("unit_price")
+    return calls.join(small_side(prices), ["provider", "model"], "left").withColumn("cost_usd", cost).drop("unit_price")

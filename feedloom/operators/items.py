@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from feedloom.functions.labels import URGENT, norm_severity, severity_rank
 from feedloom.functions.text import APOLOGY_TITLE, PLACEHOLDER_TITLE, is_http_url, squeezed, trimmed
 from feedloom.functions.times import millis, parse_ts
+from feedloom.session import cut_lineage, small_side
 from feedloom.sources.topics import ALL, SOURCE_DOMAINS, TOPIC_KEYS
 
 
@@ -32,7 +33,7 @@ def in_date_range(items: DataFrame, starts: DataFrame, today: str) -> DataFrame:
     last = F.lit(f"{today} 23:59:59").cast("timestamp")
     return (
         items.filter((F.col("ts_raw") != "") & ts.isNotNull() & (ts <= last))
-        .join(starts.select("conflict", "start_date"), "conflict")
+        .join(small_side(starts.select("conflict", "start_date")), "conflict")
         .filter(parse_ts(F.col("ts_raw")) >= F.col("start_date").cast("timestamp"))
         .drop("start_date")
     )
@@ -71,12 +72,12 @@ def critical_only(items: DataFrame) -> DataFrame:
 def urgent_or_all(items: DataFrame, group: str = "conflict") -> DataFrame:
     """Urgent items of each topic, or all its items when it has none.
 
-    The per-topic flag is a partial aggregate joined back, so a topic with a
-    third of all rows never sits in one window partition.
+    The per-topic flags are a partial aggregate, stored once and joined back, so a
+    topic with a third of all rows never sits in one task.
     """
     urgent = norm_severity(F.col("severity")).isin(*URGENT)
-    flags = items.groupBy(group).agg(F.bool_or(urgent).alias("any_urgent"))
-    return items.join(flags, group).filter(urgent | ~F.col("any_urgent")).drop("any_urgent")
+    flags = cut_lineage(items.groupBy(group).agg(F.bool_or(urgent).alias("any_urgent")))
+    return items.join(small_side(flags), group).filter(urgent | ~F.col("any_urgent")).drop("any_urgent")
 
 
 def channel_filter(messages: DataFrame, active: tuple[str, ...]) -> DataFrame:

@@ -19,13 +19,13 @@ def load_pages(pages: DataFrame, n: int, mode: str = "head", text_col: str = "ht
     )
 
 
-def first_sources(sources: DataFrame, n: int | None, group: str = "conflict", order: str = "pos") -> DataFrame:
+def first_sources(sources: DataFrame, n: int | None, group: str = "conflict", order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """First ``n`` sources of each topic, or all of them, with their rank.
 
     The rank filter becomes a per-partition limit before the shuffle, so a topic
     with very many sources ships ``n`` rows per input partition.
     """
-    w = Window.partitionBy(group).orderBy(order)
+    w = Window.partitionBy(group).orderBy(*order)
     ranked = sources.withColumn("rank", F.row_number().over(w))
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 

@@ -231,7 +231,7 @@ def clean_snapshots(
 
 
 def rebuild_snapshots(store: DataFrame, cleaned: DataFrame, names: tuple[str, ...] = CONTAINERS) -> DataFrame:
-    """Write cleaned items back into their payloads; other fields stay.
+    """Write cleaned items and the row's write time back into the payloads; other fields stay.
 
     A payload holds one feed's capped list, so collecting it per key is small.
     """
@@ -245,26 +245,41 @@ def rebuild_snapshots(store: DataFrame, cleaned: DataFrame, names: tuple[str, ..
     body = F.concat(F.lit("["), F.array_join(F.coalesce("jsons", F.array().cast("array<string>")), ","), F.lit("]"))
     target = F.when(F.col("container") == "array", F.lit("data")).otherwise(F.col("container"))
     others = F.map_filter(
-        F.try_variant_get("payload", "$", "map<string,variant>"), lambda k, v: k != target
+        F.try_variant_get("payload", "$", "map<string,variant>"), lambda k, v: (k != target) & (k != "cached_at")
     )
+    stamp = F.try_variant_get(F.try_parse_json(F.to_json(F.struct("cached_at"))), "$.cached_at", "variant")
     fields = F.map_concat(
-        F.coalesce(others, F.create_map().cast("map<string,variant>")), F.create_map(target, F.try_parse_json(body))
+        F.coalesce(others, F.create_map().cast("map<string,variant>")),
+        F.create_map(target, F.try_parse_json(body), F.lit("cached_at"), stamp),
     )
     rebuilt = F.when(F.col("container") == "none", F.col("response_data")).otherwise(F.to_json(fields))
     return parsed.withColumn("response_data", rebuilt).drop("payload", "container", "jsons")
 
 
-def snapshot_verdicts(store: DataFrame, now: Column) -> DataFrame:
+def stamp_touched(store: DataFrame, counts: DataFrame, now: Column) -> DataFrame:
+    """The store with ``touched``: which snapshots the audit rewrites.
+
+    A rewritten snapshot that has no write time gets the audit's.
+    """
+    touched = counts.select("function_name", F.lit(True).alias("touched"))
+    stamp = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    marked = store.join(touched, "function_name", "left").withColumn("touched", F.coalesce("touched", F.lit(False)))
+    return marked.withColumn("cached_at", F.coalesce("cached_at", F.when(F.col("touched"), stamp)))
+
+
+def snapshot_verdict(now: Column) -> Column:
     """Why a snapshot would be deleted; an orphan counts as orphan even if stale."""
-    return store.select(
-        "function_name",
+    return (
         F.when(is_orphan(F.col("function_name")), "orphan")
         .when(is_stale_snapshot(F.col("cached_at"), now), "stale")
         .otherwise("keep")
-        .alias("verdict"),
     )
 
 
+def snapshot_verdicts(store: DataFrame, now: Column) -> DataFrame:
+    return store.select("function_name", snapshot_verdict(now).alias("verdict"))
+
+
 def audit_report(counts: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One row: items before, after, removed, snapshots deleted by reason."""
     def number(verdict: str) -> Column:

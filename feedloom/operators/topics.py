@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.session import small_side
 from feedloom.sources.topics import ALL, ALL_LABELS
 
 
@@ -54,8 +55,9 @@ def padded_words(text: Column) -> Column:
 def relevance(items: DataFrame, config: DataFrame, text: str) -> DataFrame:
     """Number of the topic's search terms that occur in the text as whole words.
 
-    Terms travel as an array on the (broadcast-size) topic row, so each text is
-    read once where it lies: no explosion into words and no shuffle of texts.
+    Terms travel as an array on the topic row, which is broadcast while the topics
+    are few, so each text is read once where it lies: no explosion into words and
+    no shuffle of texts.
     """
     terms = F.array_distinct(
         F.filter(
@@ -65,4 +67,4 @@ def relevance(items: DataFrame, config: DataFrame, text: str) -> DataFrame:
     dim = config.select("conflict", terms.alias("terms"))
     padded = items.withColumn("padded", padded_words(F.col(text)))
     hits = F.filter("terms", lambda t: F.contains(F.col("padded"), t))
-    return padded.join(dim, "conflict").withColumn("n_terms", F.size(hits)).drop("terms", "padded")
+    return padded.join(small_side(dim), "conflict").withColumn("n_terms", F.size(hits)).drop("terms", "padded")

@@ -13,18 +13,17 @@ from feedloom.sources.snapshots import SnapshotTable
 def audit(store: DataFrame, now: Column, legacy: bool = False) -> tuple[DataFrame, DataFrame]:
     """The store after the audit and the one-row report.
 
+    Cleaned snapshots are stamped first and judged afterwards, so one that had no
+    write time survives.
     ``legacy`` looks for items under ``items`` and ``data`` only.
     """
     names = sn.LEGACY_CONTAINERS if legacy else sn.CONTAINERS
     cleaned, counts = sn.clean_snapshots(store, now, names)
-    touched = store.join(counts.select("function_name"), "function_name", "left_semi")
-    rebuilt = sn.rebuild_snapshots(touched, cleaned, names)
-    # Cleaning keeps the write time, so the rewrite replaces rows key by key.
-    untouched = store.join(counts.select("function_name"), "function_name", "left_anti")
-    verdicts = sn.snapshot_verdicts(store, now)
-    kept = verdicts.filter(F.col("verdict") == "keep")
-    after = untouched.unionByName(rebuilt).join(kept, "function_name", "left_semi")
-    return after, sn.audit_report(counts, verdicts)
+    stamped = sn.stamp_touched(store, counts, now)
+    kept = stamped.filter(sn.snapshot_verdict(now) == "keep")
+    rebuilt = sn.rebuild_snapshots(kept.filter("touched"), cleaned, names)
+    after = kept.filter("NOT touched").unionByName(rebuilt).drop("touched")
+    return after, sn.audit_report(counts, sn.snapshot_verdicts(stamped, now))
 
 
 def run_audit(table: SnapshotTable, now: Column, legacy: bool = False) -> DataFrame:

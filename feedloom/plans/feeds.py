@@ -12,6 +12,7 @@ from feedloom.operators.near_dupes import dedupe_titles
 from feedloom.operators.pages import assemble_corpus, first_sources, load_pages
 from feedloom.operators.roster import roster_match
 from feedloom.operators.stance import has_content, parse_stance, spectrum, with_clean_summary
+from feedloom.session import small_side
 from feedloom.sources.topics import CHANNEL_TAIL_CHARS, HEAD_CHARS, ITEM_CAPS, LATEST_MESSAGES, SOURCES_PER_TOPIC
 
 
@@ -39,12 +40,14 @@ def fields_of(rows: DataFrame, fields: dict[str, str], *keep: str) -> DataFrame:
 def corpus(pages: DataFrame, sources: DataFrame, style: str) -> DataFrame:
     """Prompt text per topic from its first few landed sources, or from all its channels.
 
-    ``pages`` is ``(url, html)``, ``sources`` ``(conflict, pos, url)``.  Sources
+    ``pages`` is ``(url, html)``, ``sources`` ``(conflict, pos, url)``, or the rows
+    of ``derive_all_sources``, ordered by first topic and position.  Sources
     are ranked before pages are read, so only pages in use cross the join.  The
     curated channels of a topic are few and all of them are read.
     """
     n, mode = (CHANNEL_TAIL_CHARS, "tail") if style == "channel" else (HEAD_CHARS[style], "head")
-    chosen = first_sources(sources, None if style == "channel" else SOURCES_PER_TOPIC)
+    order = ("first_ord", "first_pos") if "first_ord" in sources.columns else ("pos",)
+    chosen = first_sources(sources, None if style == "channel" else SOURCES_PER_TOPIC, order=order)
     texts = load_pages(pages.join(chosen, "url"), n, mode)
     return assemble_corpus(texts.select("conflict", "rank", F.col("url").alias("source"), "text"), style)
 
@@ -85,7 +88,7 @@ def stance_report(responses: DataFrame, config: DataFrame, now_iso: str, raw: st
     parsed = recover(responses, raw).drop(raw, "stage")
     records = with_clean_summary(has_content(parse_stance(parsed, "value", now_iso)))
     labels = config.select("conflict", "label", "left_label", "center_label", "right_label")
-    return spectrum(records.join(labels, "conflict"))
+    return spectrum(records.join(small_side(labels), "conflict"))
 
 
 def news_digest(responses: DataFrame, raw: str = "raw", k: int = ITEM_CAPS["news"]) -> DataFrame:

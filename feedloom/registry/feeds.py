@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import items as it
-from feedloom.operators.pages import split_halves
 from feedloom.plans import feeds as fd
 from feedloom.registry.aggregates import GREEDY_SQL, RANK_SQL
 from feedloom.registry.core import query
@@ -33,10 +32,8 @@ def timeline(v):
     ("messages",),
 )
 def channel_digest(v):
-    """Both halves of every topic's messages merged, the newest kept."""
-    split = split_halves(v.messages())
-    parts = [split.filter(F.col("half") == h).drop("half", "n", "rank") for h in (1, 2)]
-    return fd.channel_digest(parts).select("conflict", "pos", "channel", "ts_raw")
+    """The newest of every topic's messages, in one pass."""
+    return fd.channel_digest([v.messages()]).select("conflict", "pos", "channel", "ts_raw")
 
 
 @query(

@@ -129,9 +129,9 @@ def force_once(v):
 
 
 def _replayed(v, name: str):
-    """The table folder as a stream, drained once."""
+    """A table as a stream, drained once; the pattern fits a table of one file or a folder of files."""
     schema = v.table(name).schema
-    return v.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(v.base)
+    return v.spark.readStream.schema(schema).parquet(f"{v.base.rstrip('/')}/{name}.parque[t]")
 
 
 @query(

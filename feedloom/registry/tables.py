@@ -214,7 +214,8 @@ _AUDIT_SQL = f"""with known as (select * from store where split_part(function_na
   live as (select * from rows_ where coalesce(try_cast(item.timestamp as timestamp) >= {_NOW} - interval 48 hours, true)),
   kept as (select * from live qualify row_number() over (partition by function_name, identity order by pos) = 1),
   verdicts as (select function_name, case when function_name not in (select function_name from known) then 'orphan'
-    when not coalesce({sql_ts('cached_at')} >= {_NOW} - interval 24 hours, false) then 'stale' else 'keep' end verdict from store)"""
+    when not (coalesce({sql_ts('cached_at')} >= {_NOW} - interval 24 hours, false) or cached_at is null and function_name in (select function_name from rows_))
+    then 'stale' else 'keep' end verdict from store)"""
 
 
 @query(
@@ -228,14 +229,13 @@ _AUDIT_SQL = f"""with known as (select * from store where split_part(function_na
 )
 def audit_report(v):
     """What an audit of the current snapshots would change."""
-    cleaned, counts = sn.clean_snapshots(v.store(), now())
-    return sn.audit_report(counts, sn.snapshot_verdicts(v.store(), now()))
+    return audit(v.store(), now())[1]
 
 
 @query(
     "audit_job",
     f"""{_AUDIT_SQL}
-    select v.function_name, s.cached_at, coalesce(k.n, 0) n_items from verdicts v join store s using (function_name)
+    select v.function_name, coalesce(s.cached_at, strftime({_NOW}, '%Y-%m-%dT%H:%M:%S.%gZ')) cached_at, coalesce(k.n, 0) n_items from verdicts v join store s using (function_name)
     left join (select function_name, count(*) n from kept group by 1) k using (function_name) where verdict = 'keep'""",
     ("store", "snap_items"),
 )

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Runtime settings: UTC so that ISO strings, epochs and casts agree; duplicate
 # JSON keys keep the last value; AQE handles coalescing and skewed joins.
@@ -58,6 +59,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A join side that is broadcast if its counted rows are few, else left to Spark.
+
+    For narrow dimensions and per-topic flags: the large side then never goes through a
+    shuffle on a handful of topic keys.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder, so a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -325,3 +326,48 @@ def test_alert_rules(spark):
     commands = spark.createDataFrame([("clear", "1"), ("mark_read", "3"), ("mark_read", "2")], "command STRING, at STRING")
     assert {tuple(r) for r in al.apply_commands(notes, commands).collect()} == {("3", True), ("5", True)}
     assert al.apply_commands(notes, commands.filter("false")).count() == 3
+
+
+def test_audit_stamps_before_it_judges(spark):
+    """A cleaned snapshot without write time survives; one without items does not."""
+    from feedloom.plans.audit import audit
+    from feedloom.registry.views import now
+
+    item = '{"headline": "a", "timestamp": ""}'
+    store = spark.createDataFrame(
+        [("firecrawl-news:all", f"[{item}, {item}]", None), ("perplexity-osint:all", f'{{"items": [{item}]}}', None),
+         ("telegram-feed:all", '{"messages": []}', None)],
+        "function_name STRING, response_data STRING, cached_at STRING",
+    )
+    after, report = audit(store, now())
+    rows = {r.function_name: (json.loads(r.response_data), r.cached_at) for r in after.collect()}
+    assert sorted(rows) == ["firecrawl-news:all", "perplexity-osint:all"]
+    assert all(payload["cached_at"] == stamp for payload, stamp in rows.values())
+    assert len(rows["firecrawl-news:all"][0]["data"]) == 1
+    assert report.first().deleted_stale == 1
+
+
+def test_default_topic_has_a_corpus(spark):
+    """The derived topic's sources, in order of first topic and position, feed the corpus."""
+    from feedloom.plans.feeds import corpus
+
+    sources = derive_all_sources(tp.topic_sources(spark), tp.topic_config(spark))
+    first = [r.url for r in sources.orderBy("first_ord", "first_pos").collect()][: tp.SOURCES_PER_TOPIC]
+    pages = sources.select("url", F.concat(F.lit("<p>text of "), "url", F.lit("</p>")).alias("html"))
+    rows = corpus(pages, sources, "news").collect()
+    assert [r.n_sources for r in rows] == [len(first)]
+    places = [rows[0].corpus.index(f"text of {u}") for u in first]
+    assert places == sorted(places)
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_streams_read_tables_of_one_file_and_of_several(spark, tmp_path, files):
+    from feedloom.registry import QUERIES
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    if files:
+        events.repartition(files).write.parquet(f"{tmp_path}/events.parquet")
+    else:
+        events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    got = QUERIES["cost_stream"](spark, str(tmp_path)).agg(F.sum("n")).first()[0]
+    assert got == events.count()

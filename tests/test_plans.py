@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from feedloom.operators import items as it
+from feedloom.operators.topics import relevance
 from feedloom.registry import QUERIES
+from feedloom.sources.topics import topic_config
 
 BASE = "/root/testdata/sf0.001"
 PYTHON_STEPS = {"norm_name", "roster_match", "analyst_feed"}
@@ -30,6 +34,24 @@ def test_rank_filters_are_limited_before_the_shuffle(spark, name):
     assert "WindowGroupLimit" in text and "Partial" in text
 
 
+def test_few_topics_do_not_shuffle_the_large_side(spark):
+    """Even where Spark itself would broadcast nothing."""
+    config = topic_config(spark)
+    rows = spark.read.parquet(f"{BASE}/events.parquet").select(
+        F.col("event_type").alias("conflict"), F.col("event_type").alias("severity"), F.col("event_type").alias("body"),
+        F.lit("2024-01-01T00:00:00Z").alias("ts_raw"),
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frames = [it.in_date_range(rows, config, "2024-02-01"), it.urgent_or_all(rows), relevance(rows, config, "body")]
+        texts = [df._jdf.queryExecution().executedPlan().toString() for df in frames] + [plan(spark, "priced_calls")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for text in texts:
+        assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "ShuffledHashJoin" not in text
+
+
 def test_scans_read_only_what_is_needed(spark):
     assert "ReadSchema: struct<user_id:bigint,event_type:string>" in plan(spark, "conflict_norm")
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)]" in plan(spark, "alert_cap")
