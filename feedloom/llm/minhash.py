@@ -219,8 +219,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stored(stars.agg(F.count("*").alias("n")), "stars")
 
     wanted = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
-    # The ids grow with the data, so they are never broadcast, however few they are here.
-    wanted = wanted.hint("shuffle_hash")
     sets = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_set_rows, "node long, shingles array<long>")
     sets = stored(sets, "sets")
 
