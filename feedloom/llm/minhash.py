@@ -230,7 +230,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     likely = likely.select((-F.col("m.u")).alias("u"), "v")
     links = stored(_confirm(likely, sets).unionByName(repeated), "links")
     others = _across(stars.select("u", "v").join(likely, ["u", "v"], "left_anti"), components(links))
-    links = stored(links.unionByName(_confirm(others, sets)), "links")
+    # Stored, so that Spark knows its size; only the sets that these pairs name are shuffled.
+    others = stored(others, "others")
+    ends = others.select(F.col("u").alias("node")).unionByName(others.select(F.col("v").alias("node"))).distinct()
+    links = stored(links.unionByName(_confirm(others, sets.join(ends, "node", "left_semi"))), "links")
     found = stored(components(links), "components")
 
     late = stored(_late_links(banded, own, sets, stars, found), "links")
