@@ -219,6 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = stored(stars.agg(F.count("*").alias("n")), "stars")
 
     wanted = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
+    # Stored, so that Spark plans the join by the true size of the ids; most texts have no partner.
+    wanted = stored(wanted, "wanted")
     sets = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_set_rows, "node long, shingles array<long>")
     sets = stored(sets, "sets")
 
