@@ -54,10 +54,9 @@ def passages(block) -> tuple[np.ndarray, np.ndarray]:
     share = np.maximum(length, 1)[:, None]
     groups = np.bincount(spot * N_GROUPS + GROUPS[data], minlength=n * N_GROUPS).reshape(n, N_GROUPS)
     low = data.astype(np.int64)
-    tri = np.zeros(len(low), np.int64)
-    if len(low) > 2:
-        tri[2:] = ((low[:-2] << 16) | (low[1:-1] << 8) | low[2:]) * 0x9E3779B1 >> 13
-    cells = np.bincount(spot * CELLS + (tri & (CELLS - 1)), minlength=n * CELLS).reshape(n, CELLS)
+    at = np.flatnonzero(place >= 2)  # no trigram reaches into the document before
+    tri = ((low[at - 2] << 16) | (low[at - 1] << 8) | low[at]) * 0x9E3779B1 >> 13
+    cells = np.bincount(spot[at] * CELLS + (tri & (CELLS - 1)), minlength=n * CELLS).reshape(n, CELLS)
     starts, ends, _ = block.words()
     in_passage = spot[starts] if len(starts) else starts
     words = np.bincount(in_passage, minlength=n)
@@ -79,6 +78,11 @@ def passages(block) -> tuple[np.ndarray, np.ndarray]:
     return vectors.astype(np.float32), owner
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``x @ w`` whose rows don't depend on how many others there are, to the last bit (BLAS deals rows to unlike kernels)."""
+    return np.einsum("ij,jk->ik" if w.ndim == 2 else "ij,j->i", x, w)
+
+
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -94,16 +98,16 @@ class AttentionModel:
     def forward(self, x: np.ndarray, owner: np.ndarray, n_docs: int) -> dict[str, np.ndarray]:
         p = self.weights
         x = (x - self.mean) / self.scale
-        pre = x @ p["E"] + p["e"]
+        pre = _times(x, p["E"]) + p["e"]
         h = np.maximum(pre, 0)
-        t, g = np.tanh(h @ p["V"]), _sigmoid(h @ p["U"])
-        logit = (t * g) @ p["w"]
+        t, g = np.tanh(_times(h, p["V"])), _sigmoid(_times(h, p["U"]))
+        logit = _times(t * g, p["w"])
         starts = np.searchsorted(owner, np.arange(n_docs))
         top = np.maximum.reduceat(logit, starts)
         e = np.exp(logit - top[owner])
         a = e / np.add.reduceat(e, starts)[owner]
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
-        return {"x": x, "pre": pre, "h": h, "t": t, "g": g, "a": a, "z": z, "starts": starts, "out": _sigmoid(z @ p["c"] + p["b"])}
+        return {"x": x, "pre": pre, "h": h, "t": t, "g": g, "a": a, "z": z, "starts": starts, "out": _sigmoid(_times(z, p["c"]) + p["b"])}
 
     def step(self, x: np.ndarray, owner: np.ndarray, y: np.ndarray, decay: float) -> dict[str, np.ndarray]:
         """Gradients of the mean log-loss of some bags."""

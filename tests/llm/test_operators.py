@@ -198,6 +198,24 @@ def test_quality_learns_and_scores_every_row(spark, docs, rows, empty):
     assert quality_mil.train(docs, labels.limit(0)) is None
 
 
+def test_quality_of_a_text_does_not_depend_on_its_neighbours():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    texts = ["", "a", "ab", "abc", "short text", "é", "The quick brown fox. " * 90] + ["".join(map(chr, rng.integers(32, 127, n))) for n in (3, 17, 59, 640, 641, 5000)]
+    encode = lambda some: next(blocks(pa.array(some)))
+    x, owner = quality_mil.passages(encode(texts))
+    model = quality_mil.fit_bags(x.astype(float), owner, np.arange(len(texts)) % 2 * 1.0, epochs=2)
+    for text in texts:
+        alone, (score,), (top,) = quality_mil.passages(encode([text]))[0], *quality_mil._score_block(model, encode([text]))[::2]
+        for before in texts:
+            block = encode([before, text, text, before])
+            x, owner = quality_mil.passages(block)
+            scores, _, tops = quality_mil._score_block(model, block)
+            for i in (1, 2):
+                assert (x[owner == i] == alone).all() and scores[i] == score and tops[i] == top
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(5)
     x, owner, y = rng.normal(size=(9, quality_mil.N_FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0, 1, 0])
