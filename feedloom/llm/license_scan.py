@@ -1,16 +1,17 @@
-"""Find licence notices: winnowed fingerprints pick candidates, banded alignment measures them.
+"""Find licence notices: equal word pairs pick candidates, windows around them are aligned and measured.
 
-Templates are winnowed into fingerprints of three words, held in an inverted
-index (fingerprint to template and place). A document's fingerprints look up
-candidates; each candidate place is aligned with its template in a band around
-the diagonal, which gives the matched share of the template and the span in the
-document, also where words were changed, dropped or put in.
+Templates are cut into all their word pairs, held in an inverted index. A
+document's pairs look up the templates; a window that holds enough pairs of a
+template is aligned with it from every start, which gives the best matched share
+and the span, also where words were changed, dropped or put in. Of notices that
+overlap the one that explains the words best is reported.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,18 @@ from pyspark.sql import functions as F
 from feedloom.llm.text_arrays import TO_LOWER, Block, blocks, window_hashes
 
 # Wording of public licence notices.
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met"
+)
+BSD_2 = (
+    f"{BSD}: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of "
+    "conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+DISCLAIMER = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"'
 TEMPLATES = {
+    "Apache-1.1": "Licensed under the Apache License, Version 1.1.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-header": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
@@ -28,17 +40,11 @@ TEMPLATES = {
         "required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
         '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'
     ),
+    "BSD": BSD,  # the sentence that the BSD licences share
+    "BSD-2-Clause": f"{BSD_2} {DISCLAIMER}",
     "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
-        "following conditions are met"
-    ),
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-header": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
-        "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
-        "later version."
+        f"{BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        f"promote products derived from this software without specific prior written permission. {DISCLAIMER}"
     ),
     "MIT": "Released under the MIT License.",
     "MIT-permission": (
@@ -46,14 +52,33 @@ TEMPLATES = {
         'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"
     ),
+    "MPL-1.1": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+for _name, _title, _versions in (
+    ("GPL", "General Public", "123"), ("LGPL", "Lesser General Public", ("2.1", "3")),
+    ("LGPL", "Library General Public", "2"), ("AGPL", "Affero General Public", "3"),
+):
+    for _v in _versions:
+        _id = f"{_name}-{_v if '.' in _v else _v + '.0'}"
+        TEMPLATES[_id] = f"This work is licensed under the GNU {_title} License, version {_v}."
+        TEMPLATES[f"{_id}-header"] = (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {_title} "
+            f"License as published by the Free Software Foundation, either version {_v} of the License, or (at your option) any "
+            "later version."
+        )
+for _name, _title in (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+):
+    for _v, _reach in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-{_name}-{_v}"] = f"Licensed under CC {_name} {_v}."
+        TEMPLATES[f"CC-{_name}-{_v}-title"] = f"This work is licensed under a Creative Commons {_title} {_v} {_reach} License."
 
-GRAM = 3  # words of a fingerprint
-WINDOW = 3  # any GRAM + WINDOW - 1 equal words share a fingerprint
-BAND = 8  # words that an alignment may stray from its diagonal
-COVERAGE = 0.8  # least matched share of a template's words
+COVERAGE = 0.8  # least share of matched words in a template and in its span
 MAX_TEMPLATE_WORDS = 1_000_000  # of all templates together: the index goes to every task
+CELLS = 1 << 20  # of the alignments made at once
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
 FOUND = "doc_id long, license string, coverage double, n_matched long, start long, stop long"
@@ -67,83 +92,138 @@ def words_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return block.hasher(low)(starts, ends), starts, ends, owner
 
 
-def winnow(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and values of the fingerprints: the least hash of each WINDOW hashes of a document."""
-    at, hashes = window_hashes(words, owner, GRAM)
-    if not len(at):
-        return at, hashes
-    least, same = hashes.copy(), owner[at]
-    marked = np.zeros(len(at), bool)
-    for shift in range(1, WINDOW):
-        n = len(at) - shift
-        ok = same[:n] == same[shift:]
-        least[:n] = np.where(ok, np.minimum(least[:n], hashes[shift:]), least[:n])
-    for shift in range(WINDOW):
-        n = len(at) - shift
-        marked[shift:] |= (hashes[shift:] == least[:n]) & (same[:n] == same[shift:])
-    return at[marked], hashes[marked]
-
-
-def index_templates(templates: dict[str, str]) -> tuple[dict[str, np.ndarray], dict[int, list[tuple[str, int]]]]:
-    """Words of each template, and where every fingerprint stands in which templates."""
-    words, index = {}, defaultdict(list)
-    for name, text in templates.items():
-        raw = np.frombuffer(text.encode(), np.uint8)
-        hashes, _, _, owner = words_of(Block(raw, np.array([0, len(raw)]), 0))
-        words[name] = hashes
-        for at, value in zip(*winnow(hashes, owner)):
-            index[int(value)].append((name, int(at)))
-    if sum(map(len, words.values())) > MAX_TEMPLATE_WORDS:
-        raise ValueError(f"templates hold over {MAX_TEMPLATE_WORDS} words; scan with parts of them")
-    return words, dict(index)
-
-
-def align(template: np.ndarray, text: np.ndarray, start: int) -> list[int]:
-    """Places in ``text`` of a longest common subsequence with the template, near the diagonal from ``start``."""
-    width = 2 * BAND + 1
-    # Column b of row i is the text place start + i - BAND + b.
-    places = start - BAND + np.arange(len(template))[:, None] + np.arange(width)
-    inside = (places >= 0) & (places < len(text))
-    equal = inside & (text[np.clip(places, 0, len(text) - 1)] == template[:, None])
-    best = np.zeros((len(template) + 1, width), np.int32)
-    for i in range(len(template)):
-        up = np.append(best[i, 1:], best[i, -1])  # the same place in the row above stands one column on
-        best[i + 1] = np.maximum.accumulate(np.maximum(up, best[i] + equal[i]))
-    found = []
-    i, b = len(template), width - 1
-    while i > 0 and b >= 0:
-        if b > 0 and best[i, b] == best[i, b - 1]:
-            b -= 1
-        elif b + 1 < width and best[i, b] == best[i - 1, b + 1]:
-            i, b = i - 1, b + 1
-        elif equal[i - 1, b] and best[i, b] == best[i - 1, b] + 1:
-            found.append(int(places[i - 1, b]))
-            i -= 1
-        else:
-            i -= 1
-    return found[::-1]
+def widest(n_words: int, coverage: float) -> int:
+    """Words of the longest span that can still be a notice of a template of ``n_words``."""
+    return math.floor(n_words / coverage + 1e-9)
+
+
+def sure_pairs(n_words: int, coverage: float) -> int:
+    """Equal word pairs that every notice of a template of ``n_words`` shares with it at least.
+
+    A span of L words with m matched has at most (n_words - m) + (L - m) breaks in
+    the run of matched words, and a pair less than words in each run.
+    """
+    least = n_words
+    for span in range(1, widest(n_words, coverage) + 1):
+        m = math.ceil(coverage * max(n_words, span) - 1e-9)
+        if m <= span:
+            least = min(least, m - 1 - (n_words - m) - (span - m))
+    return max(0, least)
+
+
+class Index:
+    """Words of the templates, and which word (kind 1) or word pair (kind 2) stands in which of them."""
+
+    def __init__(self, templates: dict[str, str], coverage: float):
+        self.names, self.words, self.need = [], [], []
+        grams: dict[int, list] = {1: [], 2: []}
+        for name, text in templates.items():
+            raw = np.frombuffer(text.encode(), np.uint8)
+            hashes, _, _, owner = words_of(Block(raw, np.array([0, len(raw)]), 0))
+            if not len(hashes):
+                continue
+            need = sure_pairs(len(hashes), coverage)
+            # Where a notice need not share a pair, it shares a word at least.
+            kind = 2 if need else 1
+            grams[kind].append((len(self.names), np.unique(window_hashes(hashes, owner, 2)[1] if need else hashes)))
+            self.names.append(name)
+            self.words.append(hashes)
+            self.need.append(need or math.ceil(coverage * len(hashes) - 1e-9))
+        if sum(map(len, self.words)) > MAX_TEMPLATE_WORDS:
+            raise ValueError(f"templates hold over {MAX_TEMPLATE_WORDS} words; scan with parts of them")
+        self.known, self.members = {}, {}
+        for kind, some in grams.items():
+            self.known[kind] = np.unique(np.concatenate([g for _, g in some])) if some else np.zeros(0, np.uint64)
+            self.members[kind] = [(t, np.isin(self.known[kind], g)) for t, g in some]
+
+    def ranked(self, t: int, begin: int, span: int, m: int) -> tuple:
+        """A notice as a tuple that sorts better ones first."""
+        whole = max(len(self.words[t]), span)
+        return whole - 2 * m, -m / whole, span, begin, self.names[t], m, t
+
+    def candidates(self, hashes: np.ndarray, owner: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int]]:
+        """Template, first and past-last word of every stretch in which notices may begin; they reach no further than ``widest``."""
+        for kind, known in self.known.items():
+            if not len(known) or len(hashes) < kind:
+                continue
+            at, values = window_hashes(hashes, owner, 2) if kind == 2 else (np.arange(len(hashes)), hashes)
+            spot = np.minimum(np.searchsorted(known, values), len(known) - 1)
+            hit = known[spot] == values
+            at, spot = at[hit], spot[hit]
+            for t, member in self.members[kind]:
+                own = at[member[spot]]
+                need, reach = self.need[t], widest(len(self.words[t]), coverage)
+                if len(own) < need:
+                    continue
+                # ``need`` hits that stand in one window of a document.
+                first, last = own[: len(own) - need + 1], own[need - 1 :]
+                near = (last - first <= reach - kind) & (owner[first] == owner[last])
+                first, last = first[near], last[near]
+                if not len(first):
+                    continue
+                begin = np.maximum(last + kind - reach, np.searchsorted(owner, owner[first]))
+                cut = np.append(True, begin[1:] > first[:-1] + 1)
+                cut[1:] |= owner[first[1:]] != owner[first[:-1]]
+                heads = np.flatnonzero(cut)
+                tails = np.append(heads[1:], len(first)) - 1
+                # Begins grow with the hits, so the first of a stretch is its least.
+                for a, b in zip(begin[heads].tolist(), first[tails].tolist()):
+                    yield t, a, b + 1
+
+
+def align(template: np.ndarray, text: np.ndarray, begins: np.ndarray, coverage: float) -> list[tuple[int, int, int]]:
+    """Of each place in ``begins`` the best notice that begins there: place, words of the span, matched words.
+
+    The matched words are a longest common subsequence of template and span. The
+    best span has most matched words when those that it lacks or adds are taken off.
+    """
+    n, width = len(template), widest(len(template), coverage)
+    begins = begins[np.isin(text[begins], template)]
+    spans = np.arange(1, width + 1)
+    whole = np.maximum(n, spans)
+    out = []
+    chunk = max(1, CELLS // width)
+    for i in range(0, len(begins), chunk):
+        some = begins[i : i + chunk]
+        places = some[:, None] + np.arange(width)
+        inside = places < len(text)
+        near = text[np.where(inside, places, 0)]
+        # A span has as many matched words at most as words of the template: most stretches end here.
+        possible = np.cumsum(inside & np.isin(near, template), 1)
+        alive = (possible >= coverage * whole - 1e-9).any(1)
+        some, near, inside = some[alive], near[alive], inside[alive]
+        if not len(some):
+            continue
+        best = np.zeros((len(some), width + 1), np.int32)
+        for word in template:
+            new = best.copy()
+            np.maximum(best[:, 1:], best[:, :-1] + ((near == word) & inside), out=new[:, 1:])
+            best = np.maximum.accumulate(new, axis=1)
+        # Only spans that end in a matched word.
+        fits = (best[:, 1:] > best[:, :-1]) & (best[:, 1:] >= coverage * whole - 1e-9)
+        score = np.where(fits, 2 * best[:, 1:] - whole, -n - width)
+        at = score.argmax(1)
+        rows = np.flatnonzero(fits.any(1))
+        out += zip(some[rows].tolist(), spans[at[rows]].tolist(), best[rows, at[rows] + 1].tolist())
+    return out
 
 
 def scan(templates: dict[str, str], coverage: float):
-    words, index = index_templates(templates)
-    known = np.array(sorted(index), np.uint64)
+    index = Index(templates, coverage)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
             for block in blocks(batch.column("text")):
                 hashes, starts, ends, owner = words_of(block)
-                at, values = winnow(hashes, owner)
-                hit = np.isin(values, known)
-                begins = defaultdict(list)
-                for place, value in zip(at[hit].tolist(), values[hit].tolist()):
-                    for name, spot in index[value]:
-                        begins[int(owner[place]), name].append(place - spot)
-                for (doc, name), some in begins.items():
-                    rows += [
-                        (ids[block.first + doc], name, *r)
-                        for r in _notices(block, words[name], hashes, starts, ends, owner, doc, some, coverage)
-                    ]
+                found: dict[int, list[tuple]] = {}
+                for t, a, b in index.candidates(hashes, owner, coverage):
+                    doc = int(owner[a])
+                    last = min(int(np.searchsorted(owner, doc, side="right")), b + widest(len(index.words[t]), coverage))
+                    some = align(index.words[t], hashes[a:last], np.arange(b - a), coverage)
+                    found.setdefault(doc, []).extend(index.ranked(t, a + begin, span, m) for begin, span, m in some)
+                for doc, some in found.items():
+                    rows += [(ids[block.first + doc], *r) for r in _notices(index, block, hashes, starts, ends, owner, doc, some, coverage)]
             kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
             cells = zip(*rows) if rows else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(
@@ -154,33 +234,40 @@ def scan(templates: dict[str, str], coverage: float):
     return run
 
 
-def _notices(block, template, hashes, starts, ends, owner, doc, begins, coverage) -> Iterator[tuple]:
+def _notices(index, block, hashes, starts, ends, owner, doc, found, coverage) -> Iterator[tuple]:
+    """The best of the notices that share words, as rows."""
     first, last = np.searchsorted(owner, [doc, doc + 1])
-    text = hashes[first:last]
-    done = -1
-    for begin in sorted(set(begins)):
-        if begin <= done:  # it begins inside the notice before
-            continue
-        found = align(template, text, begin - int(first))
-        if len(found) < coverage * len(template):
+    taken = np.zeros(last - first, bool)
+    own = block.data[block.offsets[doc] : block.offsets[doc + 1]]
+    points = np.append(0, np.cumsum((own & 0xC0) != 0x80))
+    heapify(found)
+    while found:
+        _, less, span, begin, name, m, t = heappop(found)
+        at, template = begin - first, index.words[t]
+        if not taken[at : at + span].any():
+            taken[at : at + span] = True
+            a, b = starts[begin] - block.offsets[doc], ends[begin + span - 1] - block.offsets[doc]
+            yield name, -less, m, int(points[a]), int(points[b])
             continue
-        done = int(first) + found[-1]
-        a, b = starts[first + found[0]], ends[first + found[-1]]
-        points = (block.data[block.offsets[doc] : b] & 0xC0) != 0x80
-        start = int(points[: a - block.offsets[doc]].sum())
-        yield len(found) / len(template), len(found), start, int(points.sum())
+        # A shorter span may still end before the notice that took some of its words.
+        free = int(taken[at : at + span].argmax())
+        if free >= coverage * len(template) - 1e-9:
+            for _, span, m in align(template, hashes[begin : begin + free], np.arange(1), coverage):
+                heappush(found, index.ranked(t, begin, span, m))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """``doc_id, license, coverage, n_matched, start, stop``: one row for each notice found.
 
-    ``start`` and ``stop`` count code points of the whole text. Templates of up to
-    two words have no fingerprint and are never found. A short template that is
-    part of a longer one is reported beside it.
+    ``coverage`` is the number of matched words by the words of the template or of
+    the span, whichever are more, so words that are put in count as much as words
+    left out; every span that reaches the given one is a candidate. ``start`` and
+    ``stop`` count code points of the whole text. Of notices that share words the
+    one with most matched words less lacking or added ones counts, then the higher
+    coverage, the shorter span, the earlier place and the name.
 
     Nulls: a null or empty text has no notices; a null doc_id stays null. Repeated
-    rows are reported each. Of notices of one template that overlap the first
-    counts. An empty table gives no rows. Other columns are ignored.
+    rows are reported each. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(scan(templates or TEMPLATES, coverage), FOUND)

@@ -323,6 +323,91 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def scanned(texts, templates=license_scan.TEMPLATES, coverage=license_scan.COVERAGE):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    found = defaultdict(list)
+    for out in license_scan.scan(templates, coverage)(iter([batch])):
+        for r in sorted(out.to_pylist(), key=lambda r: (r["doc_id"], r["start"])):
+            found[r["doc_id"]].append(r)
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_license_scan_finds_one_word_edits_everywhere(name):
+    words = re.findall("[a-z0-9]+", license_scan.TEMPLATES[name].lower())
+    n = len(words)
+    around = lambda w: "Before it, of the " + " ".join(w) + " under no way."
+    edits = [words[:i] + new + words[j:] for i in range(n) for new, j in ((["zz"], i + 1), ([], i + 1), (["zz"], i)) if (new, j) != (["zz"], 0) and not (j == i and i == 0)]
+    found = scanned([around(words), *map(around, edits)])
+    assert [(r["license"], r["coverage"]) for r in found[0]] == [(name, 1.0)]
+    for k in range(1, len(edits) + 1):
+        # Whatever is reported explains the words at least as well as the template itself.
+        assert any(2 * r["n_matched"] - r["n_matched"] / r["coverage"] >= n - 2 - 1e-9 for r in found[k]), edits[k - 1]
+
+
+def test_license_scan_tells_siblings_apart():
+    texts = {
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "Licensed under CC BY-NC-ND 4.0.": "CC-BY-NC-ND-4.0",
+        "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+        license_scan.TEMPLATES["BSD-2-Clause"]: "BSD-2-Clause",
+    }
+    found = scanned(list(texts))
+    assert [[r["license"] for r in found[i]] for i in range(len(texts))] == [[x] for x in texts.values()]
+    (row,) = scanned(["Licensed under CC zz BY 4.0"], {"CC-BY-4.0": "Licensed under CC BY 4.0"})[0]
+    assert row["coverage"] == 6 / 7 and row["n_matched"] == 6
+
+
+def common_words(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    return row
+
+
+@pytest.mark.parametrize("coverage", [0.8, 0.6, 1.0])
+def test_license_scan_matches_plain_alignment_at_every_place(coverage):
+    rng = np.random.default_rng(9)
+    templates = {"one": "z", "two": "y z", "five": "a b c d a", "six": "a b e c d a", "nine": "b a a c e d b f c", "twelve": "a b c d e f a b g h i j"}
+    texts = [""]
+    for _ in range(150):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            words += rng.choice(list("abcdefghijklmn"), int(rng.integers(0, 6))).tolist()
+            for w in templates[str(rng.choice(list(templates)))].split():
+                words += [[w], [w], [w], [w], [w], [w], [], ["q"], [w, "q"]][rng.integers(9)]
+        texts.append(" ".join(words))
+    found = scanned(texts, templates, coverage)
+    n_rows = 0
+    for k, text in enumerate(texts):
+        words, every = text.split(), []
+        for name, template in templates.items():
+            template = template.split()
+            for i in range(len(words)):
+                row = common_words(template, words[i:])
+                for span in range(1, len(words) - i + 1):
+                    m, whole = row[span], max(len(template), span)
+                    if m > row[span - 1] and m >= coverage * whole - 1e-9:
+                        every.append((whole - 2 * m, -m / whole, span, i, name, m))
+        taken, want = set(), []
+        for _, less, span, i, name, m in sorted(every):
+            if not taken & set(range(i, i + span)):
+                taken |= set(range(i, i + span))
+                a = len(" ".join(words[:i])) + (i > 0)
+                want.append((a, a + len(" ".join(words[i : i + span])), name, m, -less))
+        assert [(r["start"], r["stop"], r["license"], r["n_matched"], r["coverage"]) for r in found[k]] == sorted(want)
+        n_rows += len(want)
+    assert n_rows > 50
+
+
 def test_tool_calls(spark):
     calls = spark.createDataFrame(
         [
