@@ -27,6 +27,7 @@ HASHES = 8  # projections of a table
 WIDTH = 2.0  # of a cell; projections of unit vectors have deviation 1
 PROBES = 192  # buckets that a query visits in each table
 BLOCK = 4096  # indexed vectors that a task holds at a time
+DIGITS = 12  # decimals of a score
 ROWS = "bucket long, id long, vector binary"
 
 STEPS = np.array(list(product((0, 1, 2), repeat=HASHES)))  # stay, down, up in each projection
@@ -86,6 +87,18 @@ def _placed(buckets: np.ndarray, ids: np.ndarray, vectors: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ids), vectors], names=["bucket", "id", "vector"])
 
 
+def _top(scores: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k largest scores of each row; of equal ones (rounded) the first."""
+    if scores.shape[1] <= k:
+        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    border = np.take_along_axis(scores, top, 1).min(1) - 2 * 10.0**-DIGITS
+    tied = np.flatnonzero((scores >= border[:, None]).sum(1) > k)
+    if len(tied):
+        top[tied] = np.argsort(-np.round(scores[tied], DIGITS), axis=1, kind="stable")[:, :k]
+    return top
+
+
 def _best(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
     """The k best distinct candidates of each query."""
     query, found, score = rows
@@ -128,10 +141,12 @@ def rerank(k: int, most: int = 500_000):
                 if not base_raw:
                     continue
                 if base is None:
-                    base, held = _units(base_raw), np.concatenate(base_ids)
+                    held = np.concatenate(base_ids)
+                    order = np.argsort(held)
+                    base, held = _units(base_raw)[order], held[order]
                 scores = _units(vectors) @ base.T
-                top = np.argpartition(-scores, k - 1, axis=1)[:, :k] if len(held) > k else np.tile(np.arange(len(held)), (j - i, 1))
-                kept.append((np.repeat(ids[i:j], top.shape[1]), held[top].ravel(), np.take_along_axis(scores, top, 1).ravel()))
+                top = _top(scores, k)
+                kept.append((np.repeat(ids[i:j], top.shape[1]), held[top].ravel(), np.round(np.take_along_axis(scores, top, 1), DIGITS).ravel()))
                 n_kept += top.size
                 if n_kept > most:
                     kept = [_best(tuple(map(np.concatenate, zip(*kept))), k)]
@@ -186,8 +201,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of each query by cosine, nearest first.
 
-    ``vectors`` has ``vec_id`` and ``embedding`` (an array of numbers). Ties go to
-    the smaller vec_id. Equal vectors are indexed once and stand for their k + 1
+    ``vectors`` has ``vec_id`` and ``embedding`` (an array of numbers). Scores are
+    rounded to DIGITS decimals, so that multiples of a vector tie; ties go to the
+    smaller vec_id. Equal vectors are indexed once and stand for their k + 1
     smallest ids, which is all that a list of k can show. A query that finds fewer
     than k is compared with all vectors, block by block.
 

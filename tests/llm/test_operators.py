@@ -323,6 +323,31 @@ def test_license_scan(spark, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(120, 16))
+    x[:60] = x[119] * rng.permutation(np.arange(1, 61))[:, None]  # one direction, sixty lengths
+    x[60:100] = np.eye(16)[np.arange(40) % 4] * np.arange(1, 41)[:, None]
+    ids = rng.permutation(120)
+    some = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in lsh_ann.nearest(some, F.lit(True)).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for at in range(100):
+        s = np.round(u @ u[at], 10)
+        s[at] = -9
+        # All five have the query's own direction, which shares its buckets.
+        assert [v for _, v in sorted(got[ids[at]])] == ids[np.lexsort((ids, -s))[:5]].tolist()
+
+
+def test_top_of_a_block_breaks_ties_by_column():
+    rng = np.random.default_rng(11)
+    scores = rng.integers(-3, 4, (200, 50)) / 7 + rng.normal(size=(200, 50)) * 1e-16
+    for row, top in zip(scores, lsh_ann._top(scores, 6)):
+        assert set(top) == set(np.lexsort((np.arange(50), -np.round(row, 12)))[:6])
+
+
 def scanned(texts, templates=license_scan.TEMPLATES, coverage=license_scan.COVERAGE):
     import pyarrow as pa
 
