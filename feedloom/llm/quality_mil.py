@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.llm.storage import stored
 from feedloom.llm.text_arrays import SPACES, blocks
 
 PASSAGE = 640  # bytes
@@ -26,7 +27,7 @@ FOLDED = 32  # cells that enter the vector
 HIDDEN = 24
 GATE = 12
 SAMPLE = 6000  # labelled documents to fit on
-SAMPLE_PASSAGES = 64  # evenly spaced passages of a document to fit on; scoring reads all of them
+SAMPLE_PASSAGES = 300_000  # passages of all these documents together: their vectors go to the driver
 
 GROUPS = np.zeros(256, np.int64)  # byte classes counted in each passage
 for _k, _chars in enumerate(
@@ -169,13 +170,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AttentionModel | None:
-    """Fit on at most ``sample`` labelled documents, taken by a hash of their id.
+def within(sizes: list[int], labels: list[int], most: int) -> int:
+    """How many documents, from the first on, have at most ``most`` passages together; as many at least as show both labels."""
+    total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total > most and len(set(labels[:i])) > 1:
+            return i
+    return len(sizes)
 
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_passages: int = SAMPLE_PASSAGES) -> AttentionModel | None:
+    """Fit on at most ``sample`` labelled documents, taken by a hash of their id, with all their passages.
+
+    If these have over ``sample_passages`` passages together, the first of them by
+    the same hash that don't are fitted on; no document is learned from in part.
     Rows with a null id or label, or of the held-out third, are not learned from;
-    of labels or documents that share an id one row of each is used. The sample's
-    passage vectors, at most SAMPLE_PASSAGES a document, are all that reaches the
-    driver.
+    of labels or documents that share an id one row of each is used. The passage
+    vectors are all that reaches the driver.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     chosen = (
@@ -193,30 +205,35 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, quality = batch.column("doc_id").to_pylist(), batch.column("quality").to_pylist()
-            rows = []
+            ids = batch.column("doc_id")
             for block in blocks(batch.column("text")):
                 x, owner = passages(block)
-                for i in range(block.n_docs):
-                    own = x[owner == i]
-                    own = own[np.unique(np.linspace(0, len(own) - 1, SAMPLE_PASSAGES).astype(int))]
-                    rows.append((ids[block.first + i], quality[block.first + i], own.tobytes()))
-            cells = zip(*rows) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), k) for c, k in zip(cells, (pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "quality", "x"]
-            )
-
-    found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(wanted, "doc_id")
-        .mapInArrow(run, "doc_id long, quality int, x binary")
-        .collect()
+                cuts = np.searchsorted(owner, np.arange(block.n_docs + 1))
+                vectors = [x[i:j].tobytes() for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(block.first, block.n_docs), pa.array(np.diff(cuts)), pa.array(vectors, pa.binary())],
+                    names=["doc_id", "n", "x"],
+                )
+
+    # Stored, so that their sizes are known before any vector is collected.
+    found = stored(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, n long, x binary"),
+        "passages",
     )
-    bags = {r["doc_id"]: r for r in sorted(found, key=lambda r: (r["doc_id"], bytes(r["x"])), reverse=True)}
-    rows = [bags[k] for k in sorted(bags)]
-    xs = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
+    sizes = {r["doc_id"]: r["n"] for r in found.groupBy("doc_id").agg(F.sum("n").alias("n")).collect()}
+    quality = {r["doc_id"]: r["quality"] for r in chosen}
+    first = within([sizes[d] for d in quality], list(quality.values()), sample_passages)
+    fitted = list(quality)[:first]
+    if len(fitted) < len(quality):
+        kept = F.broadcast(spark.createDataFrame([(d,) for d in fitted], "doc_id long"))
+        found = found.join(kept, "doc_id", "left_semi")
+    bags: dict[int, bytes] = {}
+    for r in found.select("doc_id", "x").collect():
+        bags[r["doc_id"]] = min(bytes(r["x"]), bags.get(r["doc_id"], bytes(r["x"])))
+    order = sorted(bags)
+    xs = [np.frombuffer(bags[d], np.float32).reshape(-1, N_FEATURES) for d in order]
     owner = np.repeat(np.arange(len(xs)), [len(x) for x in xs])
-    return fit_bags(np.concatenate(xs).astype(np.float64), owner, np.array([r["quality"] for r in rows], float))
+    return fit_bags(np.concatenate(xs).astype(np.float64), owner, np.array([quality[d] for d in order], float))
 
 
 def _score_block(model: AttentionModel | None, block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -216,6 +216,22 @@ def test_quality_of_a_text_does_not_depend_on_its_neighbours():
                 assert (x[owner == i] == alone).all() and scores[i] == score and tops[i] == top
 
 
+def test_quality_learns_from_every_passage(spark, monkeypatch):
+    # The telling passages lie between 64 evenly spaced ones.
+    dull, bright = ("dull words " * 60)[: quality_mil.PASSAGE], ("!!$ 77 #*# " * 60)[: quality_mil.PASSAGE]
+    texts = [(i, "".join(bright if i % 2 and k % 3 == 1 else dull for k in range(190))) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    seen, fit = [], quality_mil.fit_bags
+    monkeypatch.setattr(quality_mil, "fit_bags", lambda x, owner, y: seen.append((np.bincount(owner), y, x)) or fit(x, owner, y))
+    model = quality_mil.train(docs, labels)
+    assert set(seen[0][0]) == {190} and len(seen[0][0]) > 30
+    assert all((r.score >= 0.5) == r.doc_id % 2 for r in quality_mil.score_documents(docs, model).collect())
+    quality_mil.train(docs, labels, sample_passages=190 * 7)
+    assert seen[1][0].tolist() == [190] * 7
+    assert quality_mil.within([5, 5, 5, 5], [1, 1, 1, 0], 7) == 4 and quality_mil.within([5, 5, 5], [1, 0, 1], 10) == 2
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(5)
     x, owner, y = rng.normal(size=(9, quality_mil.N_FEATURES)), np.array([0, 0, 0, 1, 2, 2, 2, 2, 3]), np.array([1.0, 0, 1, 0])
