@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, suffix_dedup, tool_calls, weak_rules
+from feedloom.llm import (
+    license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, simhash, suffix_dedup, tool_calls, weak_rules,
+)
 from feedloom.llm.storage import ready
 from feedloom.sources.tables import read_table
 
@@ -175,6 +177,12 @@ def op10(spark: SparkSession, base: str) -> DataFrame:
     return lsh_ann.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
+@llm_query("op13_simhash")
+def op13(spark: SparkSession, base: str) -> DataFrame:
+    """The SimHash fingerprint and component of every document."""
+    return simhash.near_duplicates(read_table(spark, base, "documents", "doc_id", "text"))
+
+
 @llm_query("pipeline")
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     """Classifier, line dedup, near-dedup, mixing and packing, one after the other."""
