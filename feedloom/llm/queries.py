@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import (
-    license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, simhash, suffix_dedup, tool_calls, weak_rules,
+    divergence, license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, simhash, suffix_dedup, tool_calls,
+    weak_rules,
 )
 from feedloom.llm.storage import ready
 from feedloom.sources.tables import read_table
@@ -177,6 +178,52 @@ def op10(spark: SparkSession, base: str) -> DataFrame:
     return lsh_ann.nearest(vectors, F.col("vec_id") % 50 == 0)
 
 
+@llm_query(
+    "op11_divergence",
+    r"""
+    with docs as (
+      select row_number() over () r, coalesce(text, '') t, coalesce(lang, '') lang, coalesce(source, '') source from documents
+    ), found as (
+      select r, lang, source, unnest(regexp_extract_all(
+        translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term
+      from docs
+    ), kept as (
+      select lang, term from found group by lang, term having count(distinct r) >= 3
+    ), sizes as (select lang, count(*) v from kept group by lang),
+    groups as (select distinct lang, source from docs),
+    counts as (select lang, source, term, count(*) c from found join kept using (lang, term) group by all),
+    totals as (select lang, source, sum(c) n from counts group by all),
+    shares as (
+      select lang, source, term, coalesce(c, 0) c,
+             1 + (1000000000::hugeint * (coalesce(c, 0) + 1)) // (coalesce(n, 0) + v) p
+      from groups join kept using (lang) join sizes using (lang)
+      left join totals using (lang, source) left join counts using (lang, source, term)
+    ), whole as (
+      select lang, term, 1 + (1000000000::hugeint * (c + 1)) // (n + v) q
+      from (select lang, term, sum(c) c from counts group by all) join (select lang, sum(n) n from totals group by all) using (lang)
+      join sizes using (lang)
+    ), pairs as (
+      select a.lang, a.source, b.source item, coalesce(f.value, 0) as value
+      from groups a join groups b on a.lang = b.lang and a.source <> b.source
+      left join (
+        select x.lang, x.source, y.source other, sum((x.p - y.p) * (x.p - y.p) // y.p) as value
+        from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+      ) f on f.lang = a.lang and f.source = a.source and f.other = b.source
+    ), best as (
+      select lang, source, term item, (p - q) * (p - q) // q as value from shares join whole using (lang, term) where c > 0 and p > q
+    ), ranked as (
+      select lang, source, 'pair' part, item, value, row_number() over (partition by lang, source order by value desc, item) rank from pairs
+      union all
+      select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from best
+    )
+    select lang, source, part, item, value::bigint as value, rank::int as rank from ranked where part = 'pair' or rank <= 200
+    """,
+)
+def op11(spark: SparkSession, base: str) -> DataFrame:
+    """Divergence of every source from the others and from its language, and the terms that make it."""
+    return divergence.audit(read_table(spark, base, "documents", "text", "lang", "source"))
+
+
 @llm_query("op13_simhash")
 def op13(spark: SparkSession, base: str) -> DataFrame:
     """The SimHash fingerprint and component of every document."""
