@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm import (
-    divergence, license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, simhash, suffix_dedup, tool_calls,
-    weak_rules,
+    alignment, divergence, license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, simhash, suffix_dedup,
+    tool_calls, weak_rules,
 )
 from feedloom.llm.storage import ready
 from feedloom.sources.tables import read_table
@@ -224,6 +224,12 @@ def op11(spark: SparkSession, base: str) -> DataFrame:
     return divergence.audit(read_table(spark, base, "documents", "text", "lang", "source"))
 
 
+@llm_query("op12_alignment")
+def op12(spark: SparkSession, base: str) -> DataFrame:
+    """The groups and links of two tokenizers over every document, weighed by corpus-wide counts."""
+    return alignment.alignment_digests(read_table(spark, base, "documents", "doc_id", "text"))
+
+
 @llm_query("op13_simhash")
 def op13(spark: SparkSession, base: str) -> DataFrame:
     """The SimHash fingerprint and component of every document."""

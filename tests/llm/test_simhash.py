@@ -71,7 +71,7 @@ def test_simhash_null_and_repeated_ids(spark):
     assert got(simhash.near_duplicates(df)) == brute(some)
 
 
-def test_long_text_in_steps(spark, monkeypatch):
+def test_long_text_in_steps(spark):
     rng = random.Random(1)
     text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 4) for _ in range(150_000))
     df = spark.createDataFrame([(1, text), (2, text + " more"), (3, "short one")], "doc_id long, text string")
