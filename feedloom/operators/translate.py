@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.json_walk import leaf_rows, rebuilt_rows
 from feedloom.functions.text import is_translatable, latin_digits, trimmed
 from feedloom.operators.pages import position_rank
-from feedloom.session import cut_lineage
 from feedloom.sources.topics import LEAVES_PER_CHUNK, PAYLOAD_LIMIT, PROTECTED_KEYS
 
 
@@ -15,59 +15,35 @@ def size_guard(payload: Column, limit: int = PAYLOAD_LIMIT) -> Column:
     return F.when(F.length(payload) <= limit, "ok").otherwise("too_large")
 
 
-def _steps(node: Column) -> Column:
-    """Children of an object or array as ``(step, node)``; protected keys left out."""
-    elements = F.transform(
-        F.try_variant_get(node, "$", "array<variant>"),
-        lambda v, i: F.struct(i.cast("string").alias("step"), v.alias("node")),
-    )
-    fields = F.map_filter(
-        F.try_variant_get(node, "$", "map<string,variant>"), lambda k, _: ~k.isin(*PROTECTED_KEYS)
-    )
-    entries = F.transform(
-        F.map_entries(fields), lambda e: F.struct(e["key"].alias("step"), e["value"].alias("node"))
-    )
-    kind = F.schema_of_variant(node)
-    return F.when(kind.startswith("ARRAY"), elements).when(kind.startswith("OBJECT"), entries)
+def json_leaves(docs: DataFrame, doc: str, json_col: str) -> DataFrame:
+    """Every translatable string of a JSON document: ``doc, leaf, steps, path, value``.
 
-
-def json_leaves(docs: DataFrame, doc: str, json_col: str, step: int = 6) -> DataFrame:
-    """Every translatable string of a JSON document with its path.
-
-    One scan: each step unnests the containers one level and lets finished
-    scalars pass.  A protected key drops its whole subtree.  While containers are
-    left after ``step`` levels, the rows are checkpointed and unnested further;
-    only documents with more than ``step`` brackets can need that.
+    One scan and one parse. ``leaf`` numbers the strings of a document in its order;
+    ``steps`` holds keys and positions, ``path`` the same joined by dots. A protected
+    key drops its whole subtree; a text that is no JSON has no leaves.
     """
-    rows = docs.select(
-        doc, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_col).alias("node")
+    kind = docs.schema[doc].dataType.simpleString()
+    rows = docs.select(doc, json_col).mapInArrow(
+        leaf_rows(doc, json_col, frozenset(PROTECTED_KEYS)), f"`{doc}` {kind}, leaf int, steps array<string>, value string"
     )
-    may_be_deep = F.length(json_col) - F.length(F.translate(json_col, "{[", "")) > step
-    rows = _unnest(rows, doc, step)
-    if not docs.filter(may_be_deep).isEmpty():
-        while not rows.filter(_is_container(F.col("node"))).isEmpty():
-            rows = _unnest(cut_lineage(rows), doc, step)
-    text = F.when(F.schema_of_variant("node") == "STRING", F.try_variant_get("node", "$", "string"))
-    leaves = rows.select(doc, F.array_join("path", ".").alias("path"), text.alias("value"))
-    return leaves.filter(is_translatable(F.col("value")))
-
+    return rows.select(doc, "leaf", "steps", F.array_join("steps", ".").alias("path"), "value")
 
-def _is_container(node: Column) -> Column:
-    kind = F.schema_of_variant(node)
-    return kind.startswith("OBJECT") | kind.startswith("ARRAY")
 
+def rebuild_documents(docs: DataFrame, doc: str, json_col: str, results: DataFrame) -> DataFrame:
+    """``doc, rebuilt``: each JSON document with the results of its leaves in their places.
 
-def _unnest(rows: DataFrame, doc: str, levels: int) -> DataFrame:
-    for _ in range(levels):
-        passed = F.array(F.struct(F.lit(None).cast("string").alias("step"), F.col("node")))
-        rows = rows.select(doc, "path", F.explode(F.coalesce(_steps(F.col("node")), passed)).alias("part")).select(
-            doc,
-            F.when(F.col("part.step").isNull(), F.col("path"))
-            .otherwise(F.array_append("path", F.col("part.step")))
-            .alias("path"),
-            F.col("part.node").alias("node"),
-        )
-    return rows
+    ``results`` is ``(doc, leaf, result)`` with the numbers of ``json_leaves``; leaves
+    without a result stay. A document meets its own leaves only, in one shuffle, and
+    is walked once in the same order. The text is compact JSON; null if the input is
+    none. ``doc`` must be unique.
+    """
+    kind = docs.schema[doc].dataType.simpleString()
+    changes = results.groupBy(doc).agg(F.collect_list(F.struct("leaf", "result")).alias("changes"))
+    return (
+        docs.select(doc, json_col)
+        .join(changes, doc, "left")
+        .mapInArrow(rebuilt_rows(doc, json_col, frozenset(PROTECTED_KEYS)), f"`{doc}` {kind}, rebuilt string")
+    )
 
 
 def field_leaves(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]) -> DataFrame:
@@ -80,8 +56,9 @@ def field_leaves(rows: DataFrame, keys: tuple[str, ...], fields: tuple[str, ...]
     )
 
 
-def protected_path(path: Column) -> Column:
-    return F.arrays_overlap(F.split(path, r"\."), F.array(*[F.lit(k) for k in PROTECTED_KEYS]))
+def protected_path(steps: Column) -> Column:
+    """A path, given as its steps, leads through a protected key; a key may hold dots."""
+    return F.arrays_overlap(steps, F.array(*[F.lit(k) for k in PROTECTED_KEYS]))
 
 
 def chunk_leaves(leaves: DataFrame, doc: str, order: str, size: int = LEAVES_PER_CHUNK) -> DataFrame:

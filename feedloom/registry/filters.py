@@ -300,9 +300,15 @@ def translatable(v):
 )
 def protected_paths(v):
     i = F.col("event_id") % 4
-    tail = F.when(i == 0, "source.name").when(i == 1, "headline").when(i == 2, "items.0.url").otherwise("meta.sources")
-    paths = v.table("events", "event_id", "event_type").select("event_id", F.concat_ws(".", "event_type", tail).alias("path"))
-    return paths.withColumn("protected", tr.protected_path(F.col("path")))
+    kind = F.col("event_type")
+    steps = (
+        F.when(i == 0, F.array(kind, F.lit("source"), F.lit("name")))
+        .when(i == 1, F.array(kind, F.lit("headline")))
+        .when(i == 2, F.array(kind, F.lit("items"), F.lit("0"), F.lit("url")))
+        .otherwise(F.array(kind, F.lit("meta"), F.lit("sources")))
+    )
+    paths = v.table("events", "event_id", "event_type").select("event_id", steps.alias("steps"))
+    return paths.select("event_id", F.array_join("steps", ".").alias("path"), tr.protected_path(F.col("steps")).alias("protected"))
 
 
 @query(

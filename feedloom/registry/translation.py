@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import translate as tr
+from feedloom.plans.translation import translate_documents, translate_stance
 from feedloom.plans.translation import translate_items as translate
 from feedloom.registry.core import query
 from feedloom.registry.views import sql_trim
-from feedloom.sources.topics import LABELS_AR, LEAVES_PER_CHUNK, LEAVES_PER_RETRY, labels_ar
+from feedloom.sources.topics import LABELS_AR, LEAVES_PER_CHUNK, LEAVES_PER_RETRY, PAYLOAD_LIMIT, labels_ar
 
 _OK = (
     "coalesce({0} <> '' and not regexp_matches({0}, '(?i)^https?://') and not regexp_matches({0}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}')"
@@ -161,3 +162,119 @@ def translation_usable(v):
     return tr.translation_usable(
         snaps.select("event_id", "response_data"), snaps.select("event_id", got.alias("response_data")), "event_id", "response_data"
     )
+
+
+def _simulated(seed):
+    """A translator with every kind of failure, as a function of a request's numbers."""
+
+    def translator(requests):
+        chunk, again = F.col("chunk"), F.col("round") == 2
+
+        def word(key, value):
+            return (
+                F.when(~again & (key == "v1") & (seed % 2 == 0), "  ")
+                .when(~again & (key == "v2") | again & (seed % 3 == 0), value)
+                .otherwise(F.concat(F.lit("ar ٣ "), value))
+            )
+
+        answer = F.to_json(F.transform_values(F.from_json("mapping", "map<string,string>"), word))
+        status = F.when(~again & (seed % 11 == 5), 429).when(((seed + chunk) % 7 == 3) & (F.col("attempt") == 0), 500)
+        content = F.concat(F.lit("Here it is:\n```json\n"), answer, F.lit("\n```"))
+        return requests.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("attempt")).select(
+            "*", status.otherwise(200).alias("status"), F.when((seed + chunk) % 13 == 4, "Sorry.").otherwise(content).alias("content")
+        )
+
+    return translator
+
+
+def _simulated_sql(leaves: str) -> str:
+    """``doc, i, result`` of the leaves ``doc, seed, i, value``."""
+    return f"""numbered as (select *, row_number() over (partition by doc order by i) - 1 n from ({leaves}) where {sql_ok('value')}),
+    once as (select *, case when seed % 11 = 5 or (seed + n // 6) % 13 = 4 or n = 1 and seed % 2 = 0 then null when n = 2 then value
+      else 'ar ٣ ' || value end got from numbered),
+    stale as (select doc, n, row_number() over (partition by doc order by n) - 1 r from once where got is null or {sql_trim('got')} = {sql_trim('value')}),
+    final as (select o.doc, o.i, case when o.seed % 11 = 5 then value when r is not null and seed % 3 <> 0 and (seed + r // 4) % 13 <> 4
+      then {sql_latin("'ar ٣ ' || value")} else {sql_latin('coalesce(got, value)')} end result
+      from once o left join stale using (doc, n))"""
+
+
+_PAYLOAD_SQL = """'{{"title":' || to_json({0}) || ',"list":[' || coalesce({1}, '') || '],"source":{{"name":"Kept"}},"empty":{{}},"none":[],"n":1.5}}'"""
+_LINES_SQL = """string_agg('{{"a.b":' || to_json({0}) || ',"url":"Not me"}}', ',' order by i)"""
+
+
+@query(
+    "translate_payloads",
+    f"""with docs as (select conv_id * 1000 + turn doc, case when turn % 97 = 3 then repeat('long text ', 5001) else text end title,
+      (conv_id * 1000 + turn) % 9 k, role from conversations),
+    lines as (select doc, i, 'Line ' || i || ' of ' || role as value from docs, lateral (select unnest(range(1, k + 1)) i)),
+    {_simulated_sql("select doc, doc seed, 0 i, title as value from docs union all select doc, doc, i, value from lines")},
+    old as (select doc, title, {_LINES_SQL.format('value')} listed from docs left join lines using (doc) group by 1, 2),
+    new as (select doc, coalesce(t.result, title) title, {_LINES_SQL.format('coalesce(f.result, value)')} listed
+      from docs left join lines using (doc) left join final f using (doc, i) left join (select doc, result from final where i = 0) t using (doc) group by 1, 2),
+    payloads as (select doc, case when doc % 23 = 5 then '{{"url":"https://x.example","n":[1,2]}}' when doc % 19 = 4 then '[' || {_PAYLOAD_SQL.format("old.title", "old.listed")}
+      else {_PAYLOAD_SQL.format("old.title", "old.listed")} end payload, {_PAYLOAD_SQL.format("new.title", "new.listed")} translated from old join new using (doc)),
+    judged as (select *, case when length(payload) > {PAYLOAD_LIMIT} then 'too_large' when doc % 23 = 5 then 'nothing' when doc % 19 = 4 then 'invalid'
+      when doc not in (select doc from numbered) then 'nothing' when doc % 11 = 5 then 'gave_up' else 'translated' end status from payloads)
+    select doc, status, md5(case when status = 'translated' then translated else payload end) digest from judged""",
+)
+def translate_payloads(v):
+    """Nested payloads of every message through a translator that fails now and then."""
+    doc = (F.col("conv_id") * 1000 + F.col("turn")).alias("doc")
+    title = F.when(F.col("turn") % 97 == 3, F.repeat(F.lit("long text "), 5001)).otherwise(F.col("text"))
+    rows = v.table("conversations", "conv_id", "turn", "role", "text").select(doc, "role", title.alias("title"))
+    count = (F.col("doc") % 9).cast("int")
+    lines = F.transform(
+        F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.struct(F.concat(F.lit("Line "), i, F.lit(" of "), F.col("role")).alias("a.b"), F.lit("Not me").alias("url")),
+    )
+    whole = F.to_json(
+        F.struct(
+            "title",
+            lines.alias("list"),
+            F.struct(F.lit("Kept").alias("name")).alias("source"),
+            F.create_map().cast("map<string,string>").alias("empty"),
+            F.array().cast("array<string>").alias("none"),
+            F.lit(1.5).cast("double").alias("n"),
+        )
+    )
+    payload = (
+        F.when(F.col("doc") % 23 == 5, '{"url":"https://x.example","n":[1,2]}')
+        .when(F.col("doc") % 19 == 4, F.concat(F.lit("["), whole))
+        .otherwise(whole)
+    )
+    docs = rows.select("doc", payload.alias("payload"))
+    done = translate_documents(docs, "doc", "payload", _simulated(F.col("doc")))
+    return done.select("doc", "status", F.md5("payload").alias("digest"))
+
+
+_REPORT_LEAVES = """select conflict doc, ord seed, 0 i, summary as value from reports union all
+      select conflict, ord, 1, top_left_story from reports union all select conflict, ord, 2, top_center_story from reports"""
+
+
+@query(
+    "stance_translated",
+    f"""with dict as (select * from (values {", ".join(f"('{en}', '{ar}')" for en, ar in LABELS_AR)}) d(en, ar)),
+    heads as (select source conflict, split_part(text, chr(10), 1) head, doc_id from documents),
+    ends as (select conflict, arg_min(head, doc_id) summary, arg_max(head, doc_id) last from heads group by 1),
+    reports as (select conflict, ord, left_label, right_label, summary, case when ord % 5 = 0 then ' ' else last end top_left_story,
+      'Seen 12 times' top_center_story from ends join config using (conflict)),
+    {_simulated_sql(_REPORT_LEAVES)}
+    select conflict, coalesce(l.ar, left_label) left_label, coalesce(r.ar, right_label) right_label,
+      md5(coalesce(a.result, summary)) summary, md5(coalesce(b.result, top_left_story)) top_left_story, coalesce(c.result, top_center_story) top_center_story
+    from reports left join dict l on l.en = left_label left join dict r on r.en = right_label
+    left join final a on a.doc = conflict and a.i = 0 left join final b on b.doc = conflict and b.i = 1 left join final c on c.doc = conflict and c.i = 2""",
+    ("config",),
+)
+def stance_translated(v):
+    """Stance reports of every topic: labels by dictionary, texts through the translator."""
+    heads = v.table("documents", "doc_id", "text", "source").select(
+        F.col("source").alias("conflict"), F.substring_index("text", "\n", 1).alias("head"), "doc_id"
+    )
+    texts = heads.groupBy("conflict").agg(F.min_by("head", "doc_id").alias("summary"), F.max_by("head", "doc_id").alias("last"))
+    reports = v.config().select("conflict", "ord", "left_label", "right_label").join(texts, "conflict")
+    reports = reports.withColumn("top_left_story", F.when(F.col("ord") % 5 == 0, " ").otherwise(F.col("last")))
+    reports = reports.withColumn("top_center_story", F.lit("Seen 12 times")).drop("ord", "last")
+    done = translate_stance(reports, "conflict", labels_ar(v.spark), _simulated(F.substring("conflict", 4, 10).cast("int")))
+    return done.select(
+        "conflict", "left_label", "right_label", F.md5("summary").alias("summary"), F.md5("top_left_story").alias("top_left_story"), "top_center_story"
+    )
