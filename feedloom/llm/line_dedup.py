@@ -217,16 +217,22 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with the dropped lines gone from ``text``, and ``n_chars`` counted anew if it is there."""
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    joined = with_bitmaps(keyed, bitmaps)
+    """``docs`` with the dropped lines gone from ``text``, and ``n_chars`` counted anew if it is there.
+
+    All other columns stay as they are, whatever their names (but for those that
+    begin with ``__line_``).
+    """
+    marks = bitmaps.select(
+        F.col("doc_id").alias("__line_doc"), F.col("text_key").alias("__line_text"), F.col("keep").alias("__line_keep")
+    ).hint("shuffle_hash")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("__line_doc")) & (F.xxhash64("text") == F.col("__line_text"))
 
     def without_dropped(texts: pd.Series, keeps: pd.Series) -> pd.Series:
         return texts.combine(keeps, lambda t, k: None if t is None else kept_lines(t.encode(), k)[0].decode())
 
     left = F.pandas_udf(without_dropped, T.StringType())
-    text = F.when(F.col("keep").isNull(), F.col("text")).otherwise(left("text", "keep"))
-    out = joined.withColumn("text", text)
+    text = F.when(F.col("__line_keep").isNull(), F.col("text")).otherwise(left("text", "__line_keep"))
+    out = docs.join(marks, own, "left").withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
     return out.select(docs.columns)

@@ -64,8 +64,9 @@ def mix_sources(
     budget: float = 1.0,
     seed: int = 7,
     small: int = 10_000,
+    number: str = "copy",
 ) -> DataFrame:
-    """All columns of ``docs`` and ``copy`` (from 0), each row as often as its draw says, shuffled globally.
+    """All columns of ``docs`` and the copy's ``number`` (from 0), each row as often as its draw says, shuffled globally.
 
     The shuffle deals rows by a hash of (seed, document, copy) and sorts each
     partition by it, so the order has nothing to do with the source or the input.
@@ -75,8 +76,8 @@ def mix_sources(
     Nulls: a null source is a source of its own; a null text has no characters and
     follows its source's rate; a source without characters gets no copies. Rows
     that share a doc_id share their draw; a null doc_id is replaced by the text's
-    hash. An empty table gives no rows. A column named ``copy`` is replaced; other
-    extra columns are kept.
+    hash. An empty table gives no rows. A column with the name of ``number`` is
+    replaced; other extra columns are kept (but for names that begin with ``__``).
     """
     rates = source_rates(docs, weights, temperature, budget).where(F.col("rate") > 0)
     terms = F.ceil(F.col("rate") / STEP).cast("int")
@@ -91,14 +92,14 @@ def mix_sources(
         F.lit(0),
         lambda n, i: n + F.size(F.filter("__steps", lambda c: c <= uniform(F.lit(seed), i.cast("string"), F.col("__who")))),
     )
-    kept = [c for c in docs.columns if c != "copy"]
+    kept = [c for c in docs.columns if c != number]
     copies = (
         docs.select(*kept)
         .join(rates, F.col("source").eqNullSafe(F.col("__source")))
         .withColumn("__who", who)
         .withColumn("__copies", draw)
         .where(F.col("__copies") > 0)
-        .select(*kept, "__who", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("copy"))
-        .withColumn("__at", F.xxhash64(F.lit(seed), "__who", "copy"))
+        .select(*kept, "__who", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias("__copy"))
+        .withColumn("__at", F.xxhash64(F.lit(seed), "__who", "__copy"))
     )
-    return copies.repartition("__at").sortWithinPartitions("__at").select(*kept, "copy")
+    return copies.repartition("__at").sortWithinPartitions("__at").select(*kept, F.col("__copy").alias(number))

@@ -71,11 +71,11 @@ class WordTokenizer:
     marks before it merges anything, so the ids of a text are those of its pieces
     in a row. Pieces are looked up by a 64-bit hash; the tokenizer itself sees each
     new piece once: plain ones (letters up to U+00FF, one digit, marks) go straight
-    to its merges, all others through the whole tokenizer. Beyond ``most`` pieces
-    the memory starts anew.
+    to its merges, all others through the whole tokenizer. Beyond ``most`` bytes the
+    memory starts anew.
     """
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = 24 << 20):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -122,7 +122,7 @@ class WordTokenizer:
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         new = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
-            if len(self.keys) + len(new) > self.most:
+            if sum(x.nbytes for x in (self.keys, self.begin, self.count, self.ids)) + 40 * len(new) > self.most:
                 self._forget()
                 new = np.arange(len(keys))
             low, raw = data.tobytes(), block.data.tobytes()

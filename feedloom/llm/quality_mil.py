@@ -26,6 +26,7 @@ CELLS = 1024  # cells of the hashed byte-trigram histogram
 FOLDED = 32  # cells that enter the vector
 HIDDEN = 24
 GATE = 12
+SLICE = 1024  # passages whose histograms are held at a time
 SAMPLE = 6000  # labelled documents to fit on
 SAMPLE_PASSAGES = 300_000  # passages of all these documents together: their vectors go to the driver
 
@@ -45,25 +46,37 @@ def passages(block) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(block.offsets)
     n_each = np.maximum(1, -(-sizes // PASSAGE))
     owner = np.repeat(np.arange(block.n_docs), n_each)
-    first = np.concatenate([[0], np.cumsum(n_each)])
-    data, n = block.data, int(first[-1])
-    doc = np.repeat(np.arange(block.n_docs), sizes)
-    place = np.arange(len(data)) - block.offsets[doc]
-    # Equal cuts: no document ends in a sliver.
-    spot = first[doc] + place * n_each[doc] // np.maximum(1, sizes[doc])
-    length = np.bincount(spot, minlength=n).astype(np.float32)
+    first = np.cumsum(n_each) - n_each
+    # Equal cuts: no document ends in a sliver. A byte's passage is place * n // size, rounded down.
+    turn = np.arange(len(owner)) - first[owner]
+    cuts = np.append(block.offsets[:-1][owner] - (-turn * sizes[owner] // n_each[owner]), len(block.data))
+    words = block.words()[:2]
+    vectors = [
+        _vectors(block, cuts[i : i + SLICE + 1], owner[i : i + SLICE], words) for i in range(0, len(owner), SLICE)
+    ]
+    return np.concatenate([*vectors, np.zeros((0, N_FEATURES), np.float32)]), owner
+
+
+def _vectors(block, cuts: np.ndarray, owner: np.ndarray, words: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Vectors of the consecutive passages between ``cuts``."""
+    n, begin, end = len(owner), cuts[0], cuts[-1]
+    spot = np.repeat(np.arange(n), np.diff(cuts))
+    data = block.data[begin:end]
+    length = np.diff(cuts).astype(np.float32)
     share = np.maximum(length, 1)[:, None]
     groups = np.bincount(spot * N_GROUPS + GROUPS[data], minlength=n * N_GROUPS).reshape(n, N_GROUPS)
-    low = data.astype(np.int64)
-    at = np.flatnonzero(place >= 2)  # no trigram reaches into the document before
-    tri = ((low[at - 2] << 16) | (low[at - 1] << 8) | low[at]) * 0x9E3779B1 >> 13
+    # No trigram reaches into the document before.
+    at = np.flatnonzero(np.arange(begin, end) - block.offsets[owner][spot] >= 2)
+    low = block.data[max(0, begin - 2) : end].astype(np.int64)
+    shift = begin - max(0, begin - 2)
+    tri = ((low[at + shift - 2] << 16) | (low[at + shift - 1] << 8) | low[at + shift]) * 0x9E3779B1 >> 13
     cells = np.bincount(spot[at] * CELLS + (tri & (CELLS - 1)), minlength=n * CELLS).reshape(n, CELLS)
-    starts, ends, _ = block.words()
-    in_passage = spot[starts] if len(starts) else starts
-    words = np.bincount(in_passage, minlength=n)
-    letters = np.bincount(in_passage, ends - starts, n)
-    long_words = np.bincount(in_passage, (ends - starts) ** 2, n)
-    mean = letters / np.maximum(1, words)
+    some = slice(*np.searchsorted(words[0], [begin, end]))
+    in_passage, sizes = spot[words[0][some] - begin], words[1][some] - words[0][some]
+    counts = np.bincount(in_passage, minlength=n)
+    letters = np.bincount(in_passage, sizes, n)
+    long_words = np.bincount(in_passage, sizes**2, n)
+    mean = letters / np.maximum(1, counts)
     vectors = np.concatenate(
         [
             np.sqrt(groups / share),
@@ -71,12 +84,12 @@ def passages(block) -> tuple[np.ndarray, np.ndarray]:
             np.sqrt(cells.max(1)[:, None] / share),
             np.sqrt((cells.astype(np.float32) ** 2).sum(1)[:, None]) / share,
             mean[:, None] / 8,
-            np.sqrt(np.maximum(0, long_words / np.maximum(1, words) - mean**2))[:, None] / 8,
+            np.sqrt(np.maximum(0, long_words / np.maximum(1, counts) - mean**2))[:, None] / 8,
             np.sqrt(cells.reshape(n, CELLS // FOLDED, FOLDED).sum(1) / share),
         ],
         axis=1,
     )
-    return vectors.astype(np.float32), owner
+    return vectors.astype(np.float32)
 
 
 def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -70,7 +70,8 @@ def op4(spark: SparkSession, base: str) -> DataFrame:
 def op5(spark: SparkSession, base: str) -> DataFrame:
     """Calls and results that all conversations make, linked, ordered and judged."""
     turns = read_table(spark, base, "conversations")
-    return tool_calls.link_calls(*tool_calls.from_conversations(turns), tool_calls.SCHEMAS)
+    calls, results, needs = tool_calls.from_conversations(turns)
+    return tool_calls.link_calls(calls, results, tool_calls.SCHEMAS, needs)
 
 
 @llm_query("op6_packing")

@@ -36,13 +36,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+STEP = 1 << 10
+
+
 @lru_cache(maxsize=4)
-def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << bits
-    up = np.full(size, base, np.uint64)
-    down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _powers(root: int) -> tuple[np.ndarray, np.ndarray]:
+    """root**0 to root**(STEP - 1), and root**(STEP * k) for as many k: a power is a product of two."""
+    small, large = np.full(STEP, root, np.uint64), np.full(STEP, pow(root, STEP, 1 << 64), np.uint64)
+    small[0] = large[0] = 1
+    return np.cumprod(small, dtype=np.uint64), np.cumprod(large, dtype=np.uint64)
+
+
+def _power(root: int, at: np.ndarray) -> np.ndarray:
+    small, large = _powers(root)
+    out = small[at % STEP]
+    at = at // STEP
+    out *= large[at % STEP]
+    if len(at) and at.max() >= STEP:  # texts of over a million bytes
+        out *= _power(pow(root, STEP * STEP, 1 << 64), at // STEP)
+    return out
+
+
+def _first_powers(root: int, n: int) -> np.ndarray:
+    small, large = _powers(root)
+    if n > STEP * STEP:
+        return _power(root, np.arange(n))
+    return (large[: -(-n // STEP), None] * small).ravel()[:n]
 
 
 class Block:
@@ -96,21 +115,22 @@ class Block:
     def hasher(self, data: np.ndarray | None = None, which: int = 0):
         """A function giving the hashes of byte ranges of ``data``."""
         data = self.data if data is None else data
-        bits = max(22, int(len(data)).bit_length())
-        up, down = _powers(BASES[which], bits)
+        inverse = pow(BASES[which], -1, 1 << 64)
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64, out=sums[1:])
+        weighed = _first_powers(BASES[which], len(data))
+        weighed *= data.astype(np.uint64) + np.uint64(1)
+        np.cumsum(weighed, dtype=np.uint64, out=sums[1:])
 
         def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             if not len(starts):
                 return np.zeros(0, np.uint64)
-            whole = (sums[ends] - sums[starts]) * down[np.minimum(starts, len(down) - 1)]
+            whole = (sums[ends] - sums[starts]) * _power(inverse, starts)
             return mix(whole + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
         return hashes
 
 
-def blocks(texts: pa.Array, most: int = 1 << 21) -> Iterator[Block]:
+def blocks(texts: pa.Array, most: int = 1 << 19) -> Iterator[Block]:
     """Cut a string column into blocks of whole texts of about ``most`` bytes; a null is empty."""
     texts = texts.cast(pa.large_binary())
     if not len(texts):

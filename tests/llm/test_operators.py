@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import os
 import re
 import zlib
@@ -14,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom.llm import (
-    license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, suffix_dedup, tool_calls, weak_rules,
+    license_scan, line_dedup, lsh_ann, minhash, mixing, packing, quality_mil, suffix_dedup, weak_rules,
 )
 from feedloom.llm.suffix_array import common_prefixes, suffix_array
 from feedloom.llm.text_arrays import blocks
@@ -449,26 +448,43 @@ def test_license_scan_matches_plain_alignment_at_every_place(coverage):
     assert n_rows > 50
 
 
-def test_tool_calls(spark):
-    calls = spark.createDataFrame(
-        [
-            (1, 1, "a", "search", '{"top_k": 3.0, "query": "é"}', None), (1, 3, "b", "search", '{"query": 1}', "a"), (1, 5, "c", "search", "{", "b"),
-            (2, 1, "x", "nope", "{}", "y"), (2, 2, "y", "classify", '{"text":"","labels":["q"]}', "x"), (3, 1, None, "search", None, None),
-            (4, 9, "a", "search", '{"query":"later"}', None), (1, 1, "a", "search", '{"top_k": 3.0, "query": "é"}', None),
-        ],
-        "conv_id long, turn long, call_id string, name string, arguments string, after string",
-    )
-    results = spark.createDataFrame([(1, 2, "a", "r1"), (1, 2, "a", "r2"), (1, 4, "z", None)], "conv_id long, turn long, call_id string, content string")
-    got = {(r.conv_id, r.call_id, r.turn, r.level, r.status, r.problem, r.record) for r in tool_calls.link_calls(calls, results, tool_calls.SCHEMAS).collect()}
-    record = lambda r: json.dumps({"call": {"arguments": {"query": "é", "top_k": 3}, "name": "search"}, "id": "a", "result": r}, ensure_ascii=False, separators=(",", ":"))
-    assert (1, "a", 1, 0, "linked", "$.top_k: not of type integer", record("r1")) in got and len(got) == 9
-    by = {(c, i, t): (lv, s, p) for c, i, t, lv, s, p, _ in got}
-    assert by[1, "b", 3] == (1, "unanswered", "$.query: not of type string") and by[1, "c", 5] == (2, "unanswered", "arguments are not JSON")
-    assert by[2, "x", 1] == (None, "unanswered", "unknown tool") and by[2, "y", 2] == (None, "unanswered", None)
-    assert by[3, None, 1][:2] == (None, "unanswered") and by[4, "a", 9][:2] == (None, "repeated") and by[1, "z", None][:2] == (None, "orphan")
-    assert tool_calls.link_calls(calls.limit(0), results.limit(0), tool_calls.SCHEMAS).count() == 0
-
-
-def test_long_chain_of_calls(spark):
-    chain = spark.range(300).selectExpr("cast(id as string) as call_id", "cast(id - 1 as string) as after")
-    assert {int(r.call_id): r.level for r in tool_calls.call_levels(chain).collect()} == {i: i for i in range(300)}
+def test_stages_with_clashing_columns(spark, docs, rows):
+    """Columns named like those that a stage works with come out as they went in."""
+    names = ["keep", "n_dropped", "text_key", "doc", "copy", "h1", "node", "score", "component_id", "kept", "set_key", "fingerprint", "rate", "terms"]
+    wide = docs.select("doc_id", "text", "source", "n_chars", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    left = line_dedup.drop_lines(wide, line_dedup.line_bitmaps(wide))
+    plain = line_dedup.drop_lines(docs, line_dedup.line_bitmaps(docs))
+    assert sorted((r.doc_id, r.text or "") for r in left.collect()) == sorted((r.doc_id, r.text or "") for r in plain.collect())
+    stages = {
+        "lines": left,
+        "one": minhash.keep_one(wide),
+        "mix": mixing.mix_sources(wide, number="__number").select(*wide.columns),
+        "good": quality_mil.keep_good(wide, None),
+    }
+    for name, df in stages.items():
+        assert df.columns == wide.columns, name
+        found = df.collect()
+        assert found and all(r[n] == f"{n}{r.doc_id}" for r in found for n in names), name
+
+
+def test_passages_of_a_long_text_in_slices(monkeypatch):
+    """Slices of any size give the same vectors, so a long text needs no more memory at a time."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abé .\n"), n)) for n in (0, 1, 639, 640, 641, 9000, 0, 20_000)] + [None]
+    whole = [quality_mil.passages(b) for b in blocks(pa.array(texts))]
+    monkeypatch.setattr(quality_mil, "SLICE", 3)
+    for (x, owner), block in zip(whole, blocks(pa.array(texts))):
+        y, again = quality_mil.passages(block)
+        assert (x == y).all() and (owner == again).all()
+
+
+def test_hashes_of_ranges_do_not_depend_on_their_place():
+    import pyarrow as pa
+
+    text = "abc" + "x" * 1_100_000 + "abc" + "y" * 3_000_000 + "abc"
+    block = next(blocks(pa.array([text])))
+    starts = np.array([0, 1_100_003, len(text) - 3])
+    for which in (0, 1):
+        assert len(set(block.hasher(None, which)(starts, starts + 3).tolist())) == 1
