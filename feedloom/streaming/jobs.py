@@ -15,6 +15,7 @@ from feedloom.operators.snapshots import delete_keys, evicted_channel_keys, upse
 from feedloom.sources.costs import with_cost_defaults
 from feedloom.sources.snapshots import SnapshotTable
 from feedloom.sources.topics import ITEM_EXPIRY_HOURS, POLL_MINUTES
+from feedloom.streaming.state import first_of_session
 
 
 def poll_trigger(panel: str = "default", once: bool = False) -> dict:
@@ -24,9 +25,12 @@ def poll_trigger(panel: str = "default", once: bool = False) -> dict:
     return {"processingTime": f"{POLL_MINUTES.get(panel, POLL_MINUTES['default'])} minutes"}
 
 
-def force_once(requests: DataFrame) -> DataFrame:
-    """First request per session, panel and topic; a new session starts over."""
-    return requests.dropDuplicates(["session", "panel", "conflict"])
+def force_once(requests: DataFrame, **session) -> DataFrame:
+    """First request per session, panel and topic; a new session starts over.
+
+    ``session`` says how sessions end: see ``first_of_session``.
+    """
+    return first_of_session(requests, **session)
 
 
 def late_item_cleanup(
