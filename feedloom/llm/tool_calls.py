@@ -260,9 +260,9 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     """Calls, results and needs as the turns of a conversation make them.
 
     An assistant's turn calls a tool on its whole text, by turn in rotation, and
-    needs the assistant's turn before, a classification also the one before that; a
-    user's turn is the result of the call in the turn before it. Ids name the turn,
-    so they are unique inside a conversation only; a null turn has a null id.
+    needs the assistant's turn before; a user's turn is the result of the call in the
+    turn before it. Ids name the turn, so they are unique inside a conversation only;
+    a null turn has a null id.
     """
     called = lambda turn: F.concat(F.lit("call-"), turn.cast("string"))
     turn = F.col("turn")
@@ -279,6 +279,4 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
         .select("conv_id", "turn", called(turn).alias("call_id"), "name", arguments.alias("arguments"))
     )
     results = turns.where(F.col("role") == "user").select("conv_id", "turn", called(turn - 1).alias("call_id"), F.col("text").alias("content"))
-    before = F.when(F.col("name") == "classify", F.array(turn - 2, turn - 4)).otherwise(F.array(turn - 2))
-    needs = calls.select("conv_id", "call_id", F.explode(before).alias("needed")).select("conv_id", "call_id", called(F.col("needed")).alias("needs"))
-    return calls, results, needs
+    return calls, results, calls.select("conv_id", "call_id", called(turn - 2).alias("needs"))
