@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedloom.operators import alerts as al
+from feedloom.operators.items import critical_only
 from feedloom.registry.core import query
-from feedloom.registry.views import NOW_ISO, sql_iso, sql_squeeze, sql_trim
+from feedloom.registry.views import sql_iso, sql_squeeze, sql_trim
 from feedloom.session import scratch_path
 from feedloom.sources.topics import ANNOUNCED_ALERTS, STORED_ALERTS
-from feedloom.streaming import jobs
+from feedloom.streaming import jobs, state
 
 
 @query(
@@ -103,17 +104,52 @@ def alert_cap(v):
     ("alerts",),
 )
 def alert_replay(v):
-    """All updates in turn against the stored notifications.
+    """All updates in turn against the stored notifications, in one pass over a stream of events.
 
-    An alert pushed out of the store may be announced again.  The updates are
-    sequential by nature; each one is a distributed anti-join against at most
-    fifty stored rows.
+    An alert pushed out of the store may be announced again.
     """
-    store = jobs.AlertStore(v.spark, scratch_path(v.spark, "alerts"))
-    alerts = v.alerts()
-    for batch_id in range(alerts.agg(F.max("batch")).first()[0] + 1):
-        store.advance(alerts.filter(F.col("batch") == batch_id).select("pos", "headline", "url"), batch_id, NOW_ISO)
-    return store.added().select("batch", "headline")
+    alerts = critical_only(v.alert_items(_replayed(v, "events"))).select(
+        F.lit("all").alias("owner"), F.lpad(F.col("batch").cast("string"), 9, "0").alias("at"), "batch", "pos", "headline", "url"
+    )
+    notes = _drained(v, state.notifications(alerts), "alerts")
+    return notes.filter("event in ('announced', 'added')").select("batch", "headline")
+
+
+_NOTE_SQL = f"""select user_id % 40 owner, event_id pos, {sql_iso('ts')} as at_, event_type from events"""
+
+
+@query(
+    "notif_commands",
+    f"""with notes as ({_NOTE_SQL}),
+    last as (select owner, max(at_) filter (where event_type = 'signup' and pos % 9 = 0) marked, max(at_) filter (where event_type = 'purchase' and pos % 50 = 3) cleared
+      from notes group by 1),
+    kept as (select owner, pos, at_, coalesce(at_ <= marked, false) is_read, row_number() over (partition by owner order by at_ desc, pos) - 1 place
+      from notes join last using (owner) where event_type not in ('signup', 'purchase') and coalesce(at_ > cleared, true))
+    select owner::varchar as owner, place::int as place, pos, is_read from kept where place < {STORED_ALERTS}""",
+)
+def notif_commands(v):
+    """Every user group's notifications after a stream of alerts and commands."""
+    e, kind = F.col("pos"), F.col("event_type")
+    rows = _replayed(v, "events").select(
+        (F.col("user_id") % 40).cast("string").alias("owner"),
+        F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"),
+        F.lit(0).cast("bigint").alias("batch"),
+        F.col("event_id").alias("pos"),
+        F.concat(F.lit("note "), "event_id").alias("headline"),
+        F.lit(None).cast("string").alias("url"),
+        "event_type",
+    )
+    marks, clears = (kind == "signup") & (e % 9 == 0), (kind == "purchase") & (e % 50 == 3)
+    commands = rows.filter(marks | clears).withColumn("kind", F.when(marks, state.MARK_READ).otherwise(state.CLEAR))
+    alerts = rows.filter(~kind.isin("signup", "purchase"))
+    notes = _drained(v, state.notifications(alerts, commands), "notes")
+    return state.current_notifications(notes).select("owner", "place", "pos", "is_read")
+
+
+def _requests(v):
+    return _replayed(v, "events").select(
+        F.col("user_id").alias("session"), F.col("event_type").alias("panel"), (F.col("user_id") % 4).alias("conflict"), "event_id"
+    )
 
 
 @query(
@@ -121,11 +157,50 @@ def alert_replay(v):
     "select user_id session_id, event_type panel, user_id % 4 topic, min(event_id) event_id from events group by 1, 2, 3",
 )
 def force_once(v):
-    """First request per session, panel and topic."""
-    requests = v.table("events", "event_id", "user_id", "event_type").select(
-        F.col("user_id").alias("session_id"), F.col("event_type").alias("panel"), (F.col("user_id") % 4).alias("topic"), "event_id"
+    """First request per session, panel and topic, over a stream of requests."""
+    first = _drained(v, jobs.force_once(_requests(v), order="event_id"), "forced")
+    return first.select(F.col("session").alias("session_id"), "panel", F.col("conflict").alias("topic"), "event_id")
+
+
+@query(
+    "force_sessions",
+    """with numbered as (select *, user_id % 300 session, count(*) filter (where event_type = 'signup' and event_id % 4 = 0) over (partition by user_id % 300 order by event_id) life from events)
+    select session, event_type panel, life, min(event_id) event_id from numbered where not (event_type = 'signup' and event_id % 4 = 0) group by 1, 2, 3""",
+)
+def force_sessions(v):
+    """As ``force_once``, for sessions that a reset event ends."""
+    rows = _requests(v).select((F.col("session") % 300).alias("session"), "panel", "event_id")
+    rows = rows.withColumn("ended", (F.col("panel") == "signup") & (F.col("event_id") % 4 == 0))
+    first = _drained(v, jobs.force_once(rows, choice=("panel",), order="event_id", reset="ended"), "sessions")
+    ends = v.table("events", "event_id", "user_id", "event_type").filter((F.col("event_type") == "signup") & (F.col("event_id") % 4 == 0))
+    ends = ends.select((F.col("user_id") % 300).alias("own"), F.col("event_id").alias("end"))
+    # Which life of its session a request belongs to: the resets before it.
+    lives = first.join(ends, (F.col("session") == F.col("own")) & (F.col("end") <= F.col("event_id")), "left")
+    return lives.groupBy("session", "panel", "event_id").agg(F.count("end").alias("life")).select("session", "panel", "life", "event_id")
+
+
+@query(
+    "stream_first",
+    f"""with items as (
+      select lang, doc_id pos, {sql_squeeze("split_part(text, chr(10), 1)")} identity, 1704067200 + (doc_id * 7919) % 2592000 s from documents
+    ), known as (select *, case when s - lag(s) over (partition by lang, identity order by s, pos) > 172800 then 1 else 0 end begins from items where identity <> ''),
+    lives as (select *, sum(begins) over (partition by lang, identity order by s, pos rows unbounded preceding) life from known),
+    firsts as (select lang, identity, min(pos) pos, max(s) last, life < max(life) over (partition by lang, identity) followed from lives group by lang, identity, life)
+    select lang, pos, md5(identity) identity from firsts where followed or last + 172800 <= (select max(s) - 172800 from known)
+    union all select lang, pos, md5(identity) from items where identity = ''""",
+)
+def stream_first(v):
+    """The first item of each identity in each language's feed, once no repeat can come any more."""
+    items = _replayed(v, "documents").select(
+        "lang",
+        F.col("doc_id").alias("pos"),
+        F.lit(None).cast("string").alias("url"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.lit(None).cast("string").alias("body"),
+        F.timestamp_seconds(F.lit(1704067200) + (F.col("doc_id") * 7919) % 2592000).alias("ts"),
     )
-    return requests.groupBy("session_id", "panel", "topic").agg(F.min("event_id").alias("event_id"))
+    kept = state.first_by_position(items, ("lang",)).select("lang", "pos", F.md5("identity").alias("identity"))
+    return _drained(v, kept, "firsts")
 
 
 def _replayed(v, name: str):
@@ -134,6 +209,20 @@ def _replayed(v, name: str):
     return v.spark.readStream.schema(schema).parquet(f"{v.base.rstrip('/')}/{name}.parque[t]")
 
 
+def _drained(v, stream, name: str):
+    """What a stream writes until its source is read."""
+    path = scratch_path(v.spark, name)
+    (
+        stream.writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", scratch_path(v.spark, f"{name}-stream"))
+        .trigger(**jobs.poll_trigger(once=True))
+        .start()
+        .awaitTermination()
+    )
+    return v.spark.read.schema(stream.schema).parquet(path)
+
+
 @query(
     "cost_stream",
     """select event_type panel, count(*) n, sum(case when user_id % 3 = 0 then 1 else 0 end) hits,
@@ -180,14 +269,5 @@ def stream_cleanup(v):
         F.col("text").alias("body"),
         F.timestamp_seconds(F.lit(1704067200) + (i * 7919) % 2592000).alias("ts"),
     )
-    path = scratch_path(v.spark, "clean-items")
     kept = jobs.late_item_cleanup(items, by=("lang",)).select("lang", F.md5("identity").alias("identity"))
-    (
-        kept.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", scratch_path(v.spark, "clean-stream"))
-        .trigger(**jobs.poll_trigger(once=True))
-        .start()
-        .awaitTermination()
-    )
-    return v.spark.read.parquet(path).groupBy("lang", "identity").agg(F.count("*").alias("n"))
+    return _drained(v, kept, "clean-items").groupBy("lang", "identity").agg(F.count("*").alias("n"))

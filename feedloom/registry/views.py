@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedloom.operators.items import critical_only
 from feedloom.operators.snapshots import keep_latest
 from feedloom.sources.tables import read_table
 from feedloom.sources.topics import CHANNELS, TOPIC_KEYS
@@ -475,21 +476,26 @@ class Views:
     def _week(self) -> Column:
         return F.floor((F.unix_seconds(F.col("ts").cast("timestamp")) - 1704067200) / 604800).cast("bigint")
 
-    def alerts(self) -> DataFrame:
-        return (
-            self.table("events", "event_id", "ts", "user_id", "event_type")
-            .filter(F.col("event_type") == "error")
-            .select(
-                F.col("event_id").alias("pos"),
-                F.col("ts").cast("timestamp").alias("ts"),
-                F.concat(F.lit("user "), "user_id").alias("headline"),
-                F.col("event_type").alias("kind"),
-                F.when(F.col("event_id") % 3 == 0, "")
-                .otherwise(F.concat(F.lit(" https://alerts.example/"), "event_id"))
-                .alias("url"),
-                self._week().alias("batch"),
-            )
+    def alert_items(self, events: DataFrame | None = None) -> DataFrame:
+        """Every event as an item of some severity; errors are critical ones."""
+        e = F.col("event_id")
+        severity = (
+            F.when(F.col("event_type") == "error", F.when(e % 2 == 0, "CRITICAL").otherwise("حرج"))
+            .when(F.col("event_type") == "signup", "High")
+            .when(F.col("event_type") == "view", "info")
         )
+        events = self.table("events", "event_id", "ts", "user_id", "event_type") if events is None else events
+        return events.select(
+            e.alias("pos"),
+            F.col("ts").cast("timestamp").alias("ts"),
+            F.concat(F.lit("user "), "user_id").alias("headline"),
+            severity.alias("severity"),
+            F.when(e % 3 == 0, "").otherwise(F.concat(F.lit(" https://alerts.example/"), e)).alias("url"),
+            self._week().alias("batch"),
+        )
+
+    def alerts(self) -> DataFrame:
+        return critical_only(self.alert_items())
 
     def notifications(self) -> DataFrame:
         return self.table("events", "event_id", "ts", "user_id").select(
