@@ -33,3 +33,30 @@ def with_cost_defaults(rows: DataFrame) -> DataFrame:
 
 def append_costs(rows: DataFrame, path: str) -> None:
     with_cost_defaults(rows).write.mode("append").parquet(path)
+
+
+# What a column must be readable as.
+KINDS = {"units": "decimal(18,6)", "cost_usd": "decimal(18,6)", "cache_hit": "boolean", "created_at": "timestamp"}
+
+
+def judged_costs(rows: DataFrame) -> DataFrame:
+    """Typed cost rows with ``reason``, the first thing wrong with a row, and ``received``, the row as JSON.
+
+    Panel, provider and time must be there; numbers must be readable and not negative.
+    """
+    have = set(rows.columns)
+    sent = {c: F.col(c).cast("string") if c in have else F.lit(None).cast("string") for c in COLUMNS}
+    typed = {c: F.col(c).try_cast(KINDS[c]) if c in have else F.lit(None).cast(KINDS[c]) for c in KINDS}
+    reason = F.lit(None).cast("string")
+    for c in reversed(COLUMNS):
+        if c in KINDS:
+            reason = F.when(sent[c].isNotNull() & typed[c].isNull(), f"{c} is not a {KINDS[c]}").otherwise(reason)
+        if c in ("units", "cost_usd"):
+            reason = F.when(typed[c] < 0, f"{c} is negative").otherwise(reason)
+        if c in ("panel", "provider", "created_at"):
+            reason = F.when(F.trim(F.coalesce(sent[c], F.lit(""))) == "", f"{c} is missing").otherwise(reason)
+    return rows.select(
+        *[typed[c].alias(c) if c in KINDS else sent[c].alias(c) for c in COLUMNS],
+        reason.alias("reason"),
+        F.to_json(F.struct(*rows.columns)).alias("received"),
+    )

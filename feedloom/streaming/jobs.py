@@ -12,7 +12,9 @@ from pyspark.sql.streaming import StreamingQuery
 from feedloom.operators.alerts import STORE_SCHEMA, announce, cap_store, new_alerts
 from feedloom.operators.items import critical_only, identity_key
 from feedloom.operators.snapshots import delete_keys, evicted_channel_keys, upsert
-from feedloom.sources.costs import with_cost_defaults
+from feedloom.session import cut_lineage
+from feedloom.sources.buckets import BucketTable
+from feedloom.sources.costs import judged_costs, with_cost_defaults
 from feedloom.sources.snapshots import SnapshotTable
 from feedloom.sources.topics import ITEM_EXPIRY_HOURS, POLL_MINUTES
 from feedloom.streaming.state import first_of_session
@@ -60,6 +62,32 @@ def cost_sink(rows: DataFrame, path: str, checkpoint: str, **trigger) -> Streami
     )
 
 
+def safe_cost_sink(rows: DataFrame, path: str, rejected: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Cost rows as callers send them: good ones to the log, the others aside with a reason.
+
+    Every column may come as text or be missing. Each batch owns a folder in both
+    places, so a replay writes the same again.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        write_costs(batch, path, rejected, batch_id)
+
+    return (
+        rows.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or poll_trigger()))
+        .start()
+    )
+
+
+def write_costs(batch: DataFrame, path: str, rejected: str, batch_id: int) -> None:
+    judged = cut_lineage(judged_costs(batch))
+    good = with_cost_defaults(judged.filter("reason is null").drop("reason", "received"))
+    good.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+    bad = judged.filter("reason is not null").select("reason", "received")
+    bad.write.mode("overwrite").parquet(f"{rejected.rstrip('/')}/batch={batch_id}")
+
+
 class AlertStore:
     """Stored notifications, one small parquet folder per batch.
 
@@ -138,11 +166,18 @@ def alert_stream(
     )
 
 
-def snapshot_sink(changes: DataFrame, table: SnapshotTable, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keep-latest upsert per batch into the versioned snapshot table."""
+def snapshot_sink(changes: DataFrame, table: SnapshotTable | BucketTable, checkpoint: str, name: str = "sink", **trigger) -> StreamingQuery:
+    """Keep-latest upsert per batch into the snapshot table.
+
+    A table in buckets rewrites the touched ones only, knows a replayed batch by the
+    sink's ``name``, and may have several sinks.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        table.write(upsert(table.read(), batch))
+        if isinstance(table, BucketTable):
+            table.upsert(batch, name, batch_id)
+        else:
+            table.write(upsert(table.read(), batch))
 
     return (
         changes.writeStream.foreachBatch(handle)
