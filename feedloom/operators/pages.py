@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import head, main_text, tail
+from feedloom.session import small_side
 from feedloom.sources.topics import CORPUS_STYLE
 
 
@@ -62,7 +63,7 @@ def position_rank(df: DataFrame, group: str, pos: str, block: int = 100_000) ->
     inside = F.row_number().over(Window.partitionBy(group, "block").orderBy(pos))
     return (
         blocks.withColumn("inside", inside)
-        .join(offsets, [group, "block"])
+        .join(small_side(offsets), [group, "block"])
         .withColumn("rank", F.col("inside") + F.col("offset"))
         .drop("block", "inside", "offset")
     )
@@ -72,4 +73,4 @@ def split_halves(df: DataFrame, group: str = "conflict", pos: str = "pos") -> Da
     """Mark the first ceil(n/2) rows of each group as half 1, the rest as half 2."""
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     first = F.col("rank") <= F.ceil(F.col("n") / 2)
-    return position_rank(df, group, pos).join(sizes, group).withColumn("half", F.when(first, 1).otherwise(2))
+    return position_rank(df, group, pos).join(small_side(sizes), group).withColumn("half", F.when(first, 1).otherwise(2))

@@ -21,8 +21,10 @@ def roster_hits(names: DataFrame, roster: DataFrame) -> DataFrame:
     given name or is contained in it.
 
     Both directions are equi-joins.  A roster name is looked up inside a longer
-    name by its first characters and then verified; a short form such as a
-    surname is looked up in the table of all pieces of the (curated) roster.
+    name by those of its characters in a row that the fewest roster names have,
+    and then verified, so a common title in front makes no hot key; a short form
+    such as a surname is looked up in the table of all pieces of the (curated)
+    roster.
     """
     firsts = roster.groupBy("conflict", F.col("norm").alias("full")).agg(F.min("ord").alias("ord"))
 
@@ -45,7 +47,7 @@ def roster_hits(names: DataFrame, roster: DataFrame) -> DataFrame:
     )
     shorter = names.join(pieces.groupBy("conflict", "norm").agg(F.min("ord").alias("ord")), ["conflict", "norm"])
 
-    anchored = firsts.withColumn("anchor", F.left("full", F.lit(ANCHOR_CHARS)))
+    anchored = _anchored(firsts)
     grams = names.select(
         "conflict",
         "norm",
@@ -69,6 +71,19 @@ def roster_hits(names: DataFrame, roster: DataFrame) -> DataFrame:
     )
 
 
+def _anchored(firsts: DataFrame) -> DataFrame:
+    """Roster names with their rarest ``ANCHOR_CHARS`` characters in a row; shorter names whole."""
+    grams = F.array_distinct(F.coalesce(_substrings("full", F.lit(ANCHOR_CHARS)), F.array("full")))
+    parts = firsts.select("conflict", "full", "ord", F.explode(grams).alias("anchor"))
+    shared = parts.groupBy("conflict", "anchor").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        parts.join(shared, ["conflict", "anchor"])
+        .groupBy("conflict", "full", "ord")
+        .agg(F.min(F.struct("n", "anchor")).alias("rarest"))
+        .select("conflict", "full", "ord", "rarest.anchor")
+    )
+
+
 def roster_match(
     comments: DataFrame, roster: DataFrame, strip_marks: bool = False, min_len: int = 1
 ) -> DataFrame:

@@ -48,12 +48,17 @@ def is_orphan(key: Column) -> Column:
 
 
 def candidate_keys(bases: DataFrame, suffixes: DataFrame) -> DataFrame:
-    """Bare bases and every base with every suffix.
+    """Bare bases and every base with every distinct suffix.
 
-    The short suffix list is a scalar array unfolded per base: no cross join.
+    The result is that product, dealt by base and suffix: both sides are spread over
+    ``lots`` and met lot by lot, so neither is gathered in one value or task.
     """
-    listed = suffixes.agg(F.array_sort(F.collect_set("suffix"))).scalar()
-    paired = bases.select("base", F.explode(listed).alias("suffix")).select(
+    lots = 16
+    lot = F.array(*[F.lit(i) for i in range(lots)])
+    left = bases.select("base", F.pmod(F.xxhash64("base"), F.lit(lots)).alias("i"), F.explode(lot).alias("j"))
+    right = suffixes.select("suffix").distinct()
+    right = right.select("suffix", F.explode(lot).alias("i"), F.pmod(F.xxhash64("suffix"), F.lit(lots)).alias("j"))
+    paired = left.join(right, [left["i"] == right["i"], left["j"] == right["j"]]).select(
         F.concat_ws(":", "base", "suffix").alias("function_name")
     )
     return bases.select(F.col("base").alias("function_name")).unionByName(paired)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.json_values import coerce_num, coerce_str
 from feedloom.functions.text import clean_summary
+from feedloom.sources.topics import TOPICS
 
 COUNTS = ("left_count", "center_count", "right_count")
 SHARES = ("left_pct", "center_pct", "right_pct")
@@ -59,6 +60,24 @@ def stance_summary(stories: DataFrame, group: str = "conflict") -> DataFrame:
     return counted
 
 
+def stance_response(records: DataFrame, group: str, now_iso: str, topics: int = len(TOPICS)) -> DataFrame:
+    """The answer of each run over all topics: how it went, and when.
+
+    ``records`` are the runs' stance records, those without content included. A run
+    whose every topic failed has no answer and no time; the others answer with the
+    topics that have content.
+    """
+    good = has_content(records).groupBy(group).agg(F.count(F.lit(1)).alias("n_topics"))
+    runs = records.select(group).distinct().join(good, group, "left").withColumn("n_topics", F.coalesce("n_topics", F.lit(0)))
+    answered = F.col("n_topics") > 0
+    return runs.select(
+        group,
+        F.when(~answered, "failed").when(F.col("n_topics") < topics, "partial").otherwise("complete").alias("status"),
+        "n_topics",
+        F.when(answered, F.lit(now_iso)).alias("last_updated"),
+    )
+
+
 def half_up(x: Column) -> Column:
     """Round half towards plus infinity, also for negative numbers."""
     return F.floor(x + 0.5)

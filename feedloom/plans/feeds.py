@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.json_values import recover
@@ -12,8 +14,9 @@ from feedloom.operators.near_dupes import dedupe_titles
 from feedloom.operators.pages import assemble_corpus, first_sources, load_pages
 from feedloom.operators.roster import roster_match
 from feedloom.operators.stance import has_content, parse_stance, spectrum, with_clean_summary
-from feedloom.session import small_side
-from feedloom.sources.topics import CHANNEL_TAIL_CHARS, HEAD_CHARS, ITEM_CAPS, LATEST_MESSAGES, SOURCES_PER_TOPIC
+from feedloom.operators.snapshots import base_of, explode_snapshots, newest_is_fresh, suffix_of
+from feedloom.session import cut_lineage, small_side
+from feedloom.sources.topics import CHANNEL_BASE, CHANNEL_TAIL_CHARS, CORPUS_STYLE, HEAD_CHARS, ITEM_CAPS, LATEST_MESSAGES, SOURCES_PER_TOPIC
 
 
 def timeline(items: DataFrame, config: DataFrame, today: str, **options) -> DataFrame:
@@ -60,6 +63,63 @@ def channel_digest(halves: list[DataFrame], k: int = LATEST_MESSAGES) -> DataFra
     return it.latest_messages(merged, k)
 
 
+def fresh_channel_snapshots(store: DataFrame, now: Column) -> DataFrame:
+    """``conflict, pos, item`` of the channel snapshots whose newest post is recent enough."""
+    channel = store.filter(base_of(F.col("function_name")) == CHANNEL_BASE)
+    items = explode_snapshots(channel, ("messages",))
+    newest = it.newest_ts(items, "function_name").filter(newest_is_fresh(F.col("newest"), now))
+    return items.join(small_side(newest.select("function_name")), "function_name", "left_semi").select(
+        suffix_of(F.col("function_name")).alias("conflict"), "pos", "item"
+    )
+
+
+def channel_requests(pages: DataFrame, sources: DataFrame) -> DataFrame:
+    """``conflict, half, corpus``: the channels' posts of each topic, in two halves if there are two.
+
+    ``pages`` is ``(url, html)``, ``sources`` the curated ``(conflict, pos, url)``. Halves
+    are cut by what was landed, the first is the longer one.
+    """
+    landed = load_pages(pages.join(sources, "url"), CHANNEL_TAIL_CHARS, "tail")
+    before, after, separator = CORPUS_STYLE["channel"]
+    part = F.concat(F.lit(before), "url", F.lit(after), "text")
+    # A topic's channels are few: the curated list.
+    parts = landed.groupBy("conflict").agg(F.array_sort(F.collect_list(F.struct("pos", part.alias("part")))).alias("parts"))
+    cut = F.ceil(F.size("parts") / 2).cast("int")
+    halves = F.filter(
+        F.array(F.slice("parts", F.lit(1), cut), F.slice("parts", cut + 1, F.size("parts"))), lambda h: F.size(h) > 0
+    )
+    return parts.select("conflict", F.posexplode(halves).alias("half", "some")).select(
+        "conflict", "half", F.array_join(F.transform("some", lambda p: p["part"]), separator).alias("corpus")
+    )
+
+
+def channel_refresh(
+    store: DataFrame,
+    pages: DataFrame,
+    sources: DataFrame,
+    ask: Callable[[DataFrame], DataFrame],
+    now: Column,
+    k: int = LATEST_MESSAGES,
+) -> DataFrame:
+    """``conflict, origin, rank, channel, text, ts_raw``: every topic's newest ``k`` messages.
+
+    A topic whose stored snapshot is fresh is served from it. For the others ``ask``
+    turns requests (``conflict, half, corpus``) into responses (``conflict, half,
+    content``), whose messages are put together half by half. Pages of topics that are
+    served from the store are not read.
+    """
+    stored = fresh_channel_snapshots(store, now)
+    served = cut_lineage(stored.select("conflict").distinct())
+    due = sources.join(small_side(served), "conflict", "left_anti")
+    responses = ask(channel_requests(pages, due))
+    names = {"channel": "channel", "text": "text", "ts_raw": "timestamp"}
+    asked = fields_of(recover_items(responses, "content", "messages", "conflict", "half"), names, "conflict", "half")
+    newest = it.top_k(asked, k, F.coalesce("ts_raw", F.lit("")).desc(), F.col("half"), F.col("pos"))
+    cached = fields_of(stored, names, "conflict").withColumn("rank", F.col("pos") + 1)
+    columns = ("conflict", "rank", "channel", "text", "ts_raw")
+    return cached.select(F.lit("stored").alias("origin"), *columns).unionByName(newest.select(F.lit("asked").alias("origin"), *columns))
+
+
 def osint_feed(responses: DataFrame, stored: DataFrame, key: str, raw: str = "raw") -> DataFrame:
     """Recovered items with a valid URL, else the stored ones; placeholders and
     apologies dropped; newest first within each key.
@@ -106,12 +166,15 @@ def news_digest(responses: DataFrame, raw: str = "raw", k: int = ITEM_CAPS["news
         F.col("response_id"),
         F.col("pos"),
     )
-    return it.urgent_or_all(ranked)
+    # A handful of rows a topic, read twice: stored, so that responses are parsed once.
+    return it.urgent_or_all(cut_lineage(ranked))
 
 
 __all__ = [
     "analyst_feed",
     "channel_digest",
+    "channel_refresh",
+    "channel_requests",
     "corpus",
     "fields_of",
     "news_digest",

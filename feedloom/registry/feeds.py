@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from feedloom.functions.json_values import recover
 from feedloom.operators import items as it
+from feedloom.operators.pages import first_sources
+from feedloom.operators.stance import parse_stance
+from feedloom.operators.stance import stance_response as stance_runs
 from feedloom.plans import feeds as fd
 from feedloom.registry.aggregates import GREEDY_SQL, RANK_SQL
 from feedloom.registry.core import query
-from feedloom.registry.views import NOW_ISO, TODAY, pick, sql_norm_severity, sql_ts
-from feedloom.sources.topics import ITEM_CAPS, LATEST_MESSAGES
+from feedloom.registry.tables import sql_main_text
+from feedloom.registry.views import NOW_ISO, TODAY, now, pick, sql_norm_severity, sql_ts
+from feedloom.sources.topics import CHANNEL_TAIL_CHARS, CHANNELS, HEAD_CHARS, ITEM_CAPS, LATEST_MESSAGES, SOURCES_PER_TOPIC
 
 
 @query(
@@ -36,6 +41,87 @@ def channel_digest(v):
     return fd.channel_digest([v.messages()]).select("conflict", "pos", "channel", "ts_raw")
 
 
+_STORED_SQL = """select conflict, i rank, '@' || conflict channel, 'stored ' || i as text,
+      case when i = 1 then {0} else '2024-01-30T20:00:00Z' end ts_raw from config, (select unnest([1, 2]) i)"""
+
+
+@query(
+    "channel_refresh",
+    f"""with ranked as (select *, row_number() over (partition by conflict order by pos) rn from page_sources),
+    landed as (select s.conflict, s.pos, s.url, right(t, {CHANNEL_TAIL_CHARS}) t from (select * from ranked where rn <= {len(CHANNELS)}) s
+      join (select url, {sql_main_text('html')} t from pages) p on p.url = s.url where length(t) > 0),
+    due as (select conflict, ord from config where ord % 3 <> 0),
+    counted as (select *, row_number() over (partition by conflict order by pos) rn, count(*) over (partition by conflict) n from landed join due using (conflict)),
+    corpora as (select conflict, ord, case when rn <= ceil(n / 2) then 0 else 1 end half, md5(string_agg('@' || url || ':' || chr(10) || t, chr(10) || '---' || chr(10) order by pos)) digest
+      from counted group by all),
+    asked as (select conflict, half, i, digest || ' ' || i as text, case when i % 4 = 0 then null else '2024-01-30T' || lpad((i * 7 % 24)::varchar, 2, '0') || ':00:00Z' end ts_raw
+      from corpora, (select unnest(range(0, 15)) i) where not (ord % 7 = 5 and half = 1)),
+    newest as (select *, row_number() over (partition by conflict order by coalesce(ts_raw, '') desc, half, i) rank from asked)
+    select 'asked' origin, conflict, rank::int as rank, 'c' || i channel, text, ts_raw from newest where rank <= {LATEST_MESSAGES}
+    union all select 'stored', conflict, rank, channel, text, ts_raw from ({_STORED_SQL.format("'2024-01-30T23:30:00Z'")}) join config using (conflict) where ord % 3 = 0""",
+    ("page_sources", "config"),
+)
+def channel_refresh(v):
+    """Every topic's channel feed: from a fresh snapshot, or asked for again in two halves."""
+    config = v.config().select("conflict", "ord")
+    newest = F.when(F.col("ord") % 3 == 0, "2024-01-30T23:30:00Z").otherwise("2024-01-30T21:59:59Z")
+    message = lambda i, ts: F.struct(
+        F.concat(F.lit("@"), "conflict").alias("channel"), F.lit(f"stored {i}").alias("text"), ts.alias("timestamp")
+    )
+    payload = F.to_json(F.struct(F.array(message(1, newest), message(2, F.lit("2024-01-30T20:00:00Z"))).alias("messages")))
+    store = config.filter("ord % 3 <> 2").select(F.concat(F.lit("telegram-feed:"), "conflict").alias("function_name"), payload.alias("response_data"))
+    sources = first_sources(v.page_sources().join(config.select("conflict"), "conflict"), len(CHANNELS)).drop("rank")
+
+    def ask(requests):
+        i = F.col("i")
+        hour = F.lpad((i * 7 % 24).cast("string"), 2, "0")
+        ts = F.when(i % 4 != 0, F.concat(F.lit("2024-01-30T"), hour, F.lit(":00:00Z")))
+        posts = requests.join(config, "conflict").select("*", F.explode(F.sequence(F.lit(0), F.lit(14))).alias("i"))
+        post = F.struct("i", F.concat(F.lit("c"), i).alias("channel"), F.concat(F.md5("corpus"), F.lit(" "), i).alias("text"), ts.alias("timestamp"))
+        listed = posts.groupBy("conflict", "half", "ord").agg(F.array_sort(F.collect_list(post)).alias("messages"))
+        good = F.concat(F.lit("Posts:\n"), F.to_json(F.struct("messages")))
+        return listed.select("conflict", "half", F.when((F.col("ord") % 7 == 5) & (F.col("half") == 1), "none").otherwise(good).alias("content"))
+
+    feed = fd.channel_refresh(store, v.table("pages", "url", "html"), sources, ask, now())
+    return feed.select("origin", "conflict", F.col("rank").cast("int").alias("rank"), "channel", "text", "ts_raw")
+
+
+@query(
+    "corpus_styles",
+    f"""with ranked as (select s.*, row_number() over (partition by s.conflict order by pos) rn from page_sources s),
+    texts as (select r.conflict, r.url, rn, {sql_main_text('html')} t from ranked r join pages p on p.url = r.url)
+    select 'channel' style, conflict, md5(string_agg('@' || url || ':' || chr(10) || right(t, {CHANNEL_TAIL_CHARS}), chr(10) || '---' || chr(10) order by rn)) digest, count(*) n_sources
+    from texts where length(t) > 0 group by 2
+    union all select 'topics', conflict, md5(string_agg('=== ' || url || ' ===' || chr(10) || left(t, {HEAD_CHARS['topics']}), chr(10) || chr(10) order by rn)), count(*)
+    from texts where length(t) > 0 and rn <= {SOURCES_PER_TOPIC} group by 2""",
+    ("page_sources",),
+)
+def corpus_styles(v):
+    """Prompt texts of every topic from all its channels, and from its first pages under their addresses."""
+    built = [
+        fd.corpus(v.table("pages", "url", "html"), v.page_sources(), style).select(F.lit(style).alias("style"), "conflict", F.md5("corpus").alias("digest"), "n_sources")
+        for style in ("channel", "topics")
+    ]
+    return built[0].unionByName(built[1])
+
+
+@query(
+    "stance_response",
+    f"""select doc_id % 97 run, case when count(*) filter (where good) = 0 then 'failed' when count(*) filter (where good) < 12 then 'partial' else 'complete' end status,
+      count(*) filter (where good) n_topics, case when count(*) filter (where good) > 0 then '{NOW_ISO}' end last_updated
+    from (select doc_id, doc_id % 97 >= 20 and n_chars % 7 + n_chars % 3 > 0 good from documents) group by 1""",
+)
+def stance_response(v):
+    """How each run over several topics went: all, some or none of its records have content."""
+    n, run = F.col("n_chars"), F.col("doc_id") % 97
+    record = F.struct(
+        (n % 7).alias("left_count"), (n % 3).alias("right_count"), F.when(run < 20, "").otherwise(F.col("text")).alias("summary")
+    )
+    rows = v.table("documents", "doc_id", "text", "n_chars").select(run.alias("run"), F.to_json(record).alias("j"), F.lit(1).alias("wrap"))
+    records = parse_stance(recover(v.wrapped(rows), "raw").drop("raw", "stage", "wrap"), "value", NOW_ISO)
+    return stance_runs(records, "run", NOW_ISO, topics=12)
+
+
 @query(
     "osint_feed",
     r"""with r as (select page_id, case page_id % 4 when 0 then null when 3 then null else url end fresh_url, url from pages)

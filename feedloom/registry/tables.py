@@ -14,6 +14,7 @@ from feedloom.plans.feeds import corpus
 from feedloom.registry.core import query
 from feedloom.registry.views import NOW, WS_SQL, now, sql_norm_severity, sql_ts
 from feedloom.session import scratch_path
+from feedloom.sources.buckets import BucketTable
 from feedloom.sources.snapshots import SnapshotTable
 from feedloom.sources.topics import CHANNEL_TAIL_CHARS, CHANNELS, HEAD_CHARS, ITEM_CAPS, SOURCES_PER_TOPIC, channels
 
@@ -116,6 +117,24 @@ def snapshot_upsert(v):
     return v.store().select("function_name", "event_id", F.md5("response_data").alias("digest"))
 
 
+@query(
+    "snapshot_buckets",
+    """select function_name, md5(response_data) digest from (select *, row_number() over (partition by function_name
+      order by event_id % 2 desc, fetched_at desc, coalesce(cached_at, '') desc, response_data desc) rn from snaps)
+    where rn = 1 and function_name not like 'legacy-feed%'""",
+    ("snaps",),
+)
+def snapshot_buckets(v):
+    """The history written to a table in buckets by two batches, one of them twice, and keys deleted."""
+    table = BucketTable(v.spark, scratch_path(v.spark, "snapshot-buckets"), buckets=16)
+    snaps = v.snaps()
+    old, new = snaps.filter("event_id % 2 = 0"), snaps.filter("event_id % 2 = 1")
+    for batch_id, rows in ((0, old), (1, new), (0, old)):
+        table.upsert(rows, "history", batch_id)
+    table.delete(table.read().filter(F.col("function_name").startswith("legacy-feed")))
+    return table.read().select("function_name", F.md5("response_data").alias("digest"))
+
+
 @query(
     "snapshot_delete",
     """select event_id, function_name from snaps where function_name not in (select function_name from snaps where cached_at = 'garbage')""",
