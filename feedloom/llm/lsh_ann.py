@@ -27,7 +27,8 @@ HASHES = 8  # projections of a table
 WIDTH = 2.0  # of a cell; projections of unit vectors have deviation 1
 PROBES = 192  # buckets that a query visits in each table
 BLOCK = 4096  # indexed vectors that a task holds at a time
-DIGITS = 12  # decimals of a score
+ROUNDING = 1e-12  # matrix products are closer than this to the cosines
+PAIRS = 1 << 14  # cosines computed in one step
 ROWS = "bucket long, id long, vector binary"
 
 STEPS = np.array(list(product((0, 1, 2), repeat=HASHES)))  # stay, down, up in each projection
@@ -48,8 +49,12 @@ def bucket_ids(cells: np.ndarray, table: int, dims: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _matrix(vectors: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+
+
 def _units(vectors: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+    x = _matrix(vectors)
     # Scaled first, so that squares neither overflow nor vanish.
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
@@ -87,16 +92,23 @@ def _placed(buckets: np.ndarray, ids: np.ndarray, vectors: pa.Array) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(ids), vectors], names=["bucket", "id", "vector"])
 
 
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """The columns of the k largest scores of each row; of equal ones (rounded) the first."""
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of each row of ``a`` with the same row of ``b``, a function of these two rows alone.
+
+    Sums are taken in extended precision and rounded to a double once, at the end, so
+    multiples of a vector have equal cosines. Rows are scaled by powers of two, which
+    changes no digit and keeps squares from overflowing.
+    """
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]).astype(np.longdouble) for x in (a, b))
+    return ((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))).astype(np.float64)
+
+
+def _likely(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of all scores that may be among the k largest of their row."""
     if scores.shape[1] <= k:
-        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    border = np.take_along_axis(scores, top, 1).min(1) - 2 * 10.0**-DIGITS
-    tied = np.flatnonzero((scores >= border[:, None]).sum(1) > k)
-    if len(tied):
-        top[tied] = np.argsort(-np.round(scores[tied], DIGITS), axis=1, kind="stable")[:, :k]
-    return top
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    border = np.partition(scores, -k, axis=1)[:, -k] - 2 * ROUNDING
+    return np.nonzero(scores >= border[:, None])
 
 
 def _best(rows: tuple[np.ndarray, ...], k: int) -> tuple[np.ndarray, ...]:
@@ -141,13 +153,14 @@ def rerank(k: int, most: int = 500_000):
                 if not base_raw:
                     continue
                 if base is None:
-                    held = np.concatenate(base_ids)
-                    order = np.argsort(held)
-                    base, held = _units(base_raw)[order], held[order]
-                scores = _units(vectors) @ base.T
-                top = _top(scores, k)
-                kept.append((np.repeat(ids[i:j], top.shape[1]), held[top].ravel(), np.round(np.take_along_axis(scores, top, 1), DIGITS).ravel()))
-                n_kept += top.size
+                    held, base, whole = np.concatenate(base_ids), _units(base_raw), _matrix(base_raw)
+                row, column = _likely(_units(vectors) @ base.T, k)
+                asked = _matrix(vectors)
+                for p in range(0, len(row), PAIRS):
+                    r, c = row[p : p + PAIRS], column[p : p + PAIRS]
+                    best = _best((ids[i:j][r], held[c], cosines(asked[r], whole[c])), k)
+                    kept.append(best)
+                    n_kept += len(best[0])
                 if n_kept > most:
                     kept = [_best(tuple(map(np.concatenate, zip(*kept))), k)]
                     n_kept = len(kept[0][0])
@@ -201,9 +214,9 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest rows of each query by cosine, nearest first.
 
-    ``vectors`` has ``vec_id`` and ``embedding`` (an array of numbers). Scores are
-    rounded to DIGITS decimals, so that multiples of a vector tie; ties go to the
-    smaller vec_id. Equal vectors are indexed once and stand for their k + 1
+    ``vectors`` has ``vec_id`` and ``embedding`` (an array of numbers). A score is the
+    cosine of the two original vectors in doubles, not rounded; ties go to the smaller
+    vec_id. Equal vectors are indexed once and stand for their k + 1
     smallest ids, which is all that a list of k can show. A query that finds fewer
     than k is compared with all vectors, block by block.
 

@@ -4,8 +4,9 @@ One hash of each shingle fills all bins of a signature; empty bins are filled by
 optimal densification (Shrivastava 2017). Equal sets are one class and take part
 once. In every bucket of a band the members are compared with the smallest one
 only; links are confirmed on the full sets. A bucket that still holds several
-components afterwards is compared block by block inside tasks, which write only
-confirmed links, so that no link is lost to the star shape.
+components afterwards is compared inside tasks: all members outside its largest
+component visit every block of its members, and only confirmed links are written,
+so that no link is lost to the star shape.
 """
 
 from __future__ import annotations
@@ -28,9 +29,8 @@ BINS = 1 << BITS
 ROWS = 4  # of a band: a pair of similarity 0.75 misses all 32 bands with probability 5e-6
 BANDS = BINS // ROWS
 PERCENT = 75
-BLOCK = 512  # members of a bucket that one task compares with as many others
-# Equal bins of a pair at the threshold: 96 on average, deviation 4.9; 4.5 deviations below.
-AGREE = 74
+BLOCK = 512  # members of a bucket that visitors are compared with at a time
+SKETCH = 64  # 64-bit words of the bitmap that bounds what two sets share
 
 
 def _pick_table(attempts: int) -> np.ndarray:
@@ -100,26 +100,28 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys, mix(values).astype(np.uint8)
 
 
+def set_number(shingles: np.ndarray) -> int:
+    """A signed 64-bit number of a set; equal sets, and hardly any others, have the same."""
+    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def _signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks(batch.column("text")):
             sets = shingle_sets(block)
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys, bins = signatures([sets[i] for i in some])
+            keys, _ = signatures([sets[i] for i in some])
             bands: list = [None] * len(sets)
-            lows: list = [None] * len(sets)
-            for i, k, b in zip(some, keys.view(np.int64), bins):
-                bands[i], lows[i] = k, b.tobytes()
-            digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            for i, k in zip(some, keys.view(np.int64)):
+                bands[i] = k
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").slice(block.first, block.n_docs),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(digests, pa.binary()),
+                    pa.array([set_number(s) if len(s) else None for s in sets], pa.int64()),
                     pa.array(bands, pa.list_(pa.int64())),
-                    pa.array(lows, pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "bands", "bins"],
+                names=["doc_id", "n_shingles", "node", "bands"],
             )
 
 
@@ -130,42 +132,52 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(block.first, block.n_docs), pa.ListArray.from_arrays(pa.array(ends), as_long(flat))],
+                [pa.array([set_number(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), as_long(flat))],
                 names=["node", "shingles"],
             )
 
 
+def bitmaps(flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of each set, and how many of its shingles share a bit with another one."""
+    sizes = np.diff(ends)
+    bit = mix(flat) >> np.uint64(64 - (64 * SKETCH).bit_length() + 1)
+    maps = np.zeros((len(sizes), SKETCH), np.uint64)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    np.bitwise_or.at(maps, (owner, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+    return maps, sizes - np.bitwise_count(maps).sum(1, dtype=np.int64)
+
+
 def _links_in_block(group: pa.Table) -> pa.Table:
-    """Links between components in a block of a bucket, compared with the full sets.
+    """Links between the visitors and the members of a block of a bucket, compared with the full sets.
 
-    Only pairs whose bins agree often enough are compared, and each pair only in
-    the first band that it shares, however many buckets it meets in.
+    Two sets share at most the bits that both bitmaps have and the shingles that have no
+    bit of their own; pairs that can't reach the similarity by this bound are left out,
+    and each pair is compared only in the first band that it shares.
     """
-    node, component, mine = (group.column(c).to_numpy() for c in ("node", "component", "mine"))
+    node, component = (group.column(c).to_numpy() for c in ("node", "component"))
+    visits = group.column("visits").to_numpy(zero_copy_only=False)
     bucket = group.column("bucket")[0].as_py()
-    bins = np.frombuffer(b"".join(group.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
     bands = np.array(group.column("bands").to_pylist(), np.int64).reshape(-1, BANDS)
     band = int(np.flatnonzero((bands == bucket).any(0)).min(initial=BANDS))
     sets = group.column("shingles").combine_chunks()
-    ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(np.uint64)
+    ends, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy().view(np.uint64)
     sizes = np.diff(ends)
-    left = np.flatnonzero(mine)
+    maps, hidden = bitmaps(flat[: ends[-1]], ends)
+    there = np.flatnonzero(~visits)
     links = []
-    for i in range(0, len(left), 32):
-        some = left[i : i + 32]
-        same = (bins[some][:, None, :] == bins[None, :, :]).sum(2)
-        near = np.minimum(sizes[some][:, None], sizes[None, :]) * 100 >= PERCENT * np.maximum(sizes[some][:, None], sizes[None, :])
-        r, c = np.nonzero((same >= AGREE) & near & (component[some][:, None] != component[None, :]))
-        r = some[r]
-        first = ~(bands[r][:, :band] == bands[c][:, :band]).any(1)
-        for a, b in zip(r[first], c[first]):
-            if mine[a] and mine[b] and node[a] > node[b]:
-                continue  # the same pair is met from the other side
-            x, y = flat[ends[a] : ends[a + 1]], flat[ends[b] : ends[b + 1]]
+    for i in np.flatnonzero(visits):
+        least, most = np.minimum(sizes[i], sizes[there]), np.maximum(sizes[i], sizes[there])
+        near = there[(component[there] != component[i]) & (100 * least >= PERCENT * most)]
+        shared = np.bitwise_count(maps[i] & maps[near]).sum(1, dtype=np.int64) + np.minimum(hidden[i], hidden[near])
+        near = near[100 * shared >= PERCENT * (sizes[i] + sizes[near] - shared)]
+        near = near[~(bands[near, :band] == bands[i, :band]).any(1)]
+        x = flat[ends[i] : ends[i + 1]]
+        for j in near:
+            y = flat[ends[j] : ends[j + 1]]
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             common = int(np.count_nonzero(y[at] == x))
             if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                links.append((min(node[a], node[b]), max(node[a], node[b])))
+                links.append((min(node[i], node[j]), max(node[i], node[j])))
     return pa.table({"u": pa.array([u for u, _ in links], pa.int64()), "v": pa.array([v for _, v in links], pa.int64())})
 
 
@@ -199,19 +211,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component. An empty table gives no rows. Other columns are ignored.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = stored(
-        texts.mapInArrow(
-            _signature_rows, "doc_id long, n_shingles long, set_key binary, bands array<long>, bins binary"
-        ),
-        "signatures",
-    )
-    linked = signed.where(F.col("doc_id").isNotNull() & F.col("set_key").isNotNull())
-    named = stored(linked.groupBy("set_key").agg(F.min("doc_id").alias("node")), "classes")
-    members = stored(
-        linked.select("doc_id", "set_key").join(named, "set_key").select("doc_id", "node"), "members"
-    )
-    # The row that names a class brings its signature; repeated rows are dropped by the groupings below.
-    own = linked.join(named.withColumnRenamed("set_key", "key"), (F.col("doc_id") == F.col("node")) & (F.col("set_key") == F.col("key")))
+    signed = stored(texts.mapInArrow(_signature_rows, "doc_id long, n_shingles long, node long, bands array<long>"), "signatures")
+    members = signed.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
+    classes = stored(members.groupBy("node").agg(F.min("doc_id").alias("least")), "classes")
+    # Several rows under one id are one document: its classes are united, and its rows of one class count once.
+    ids = members.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    ids = stored(ids, "repeated-ids")
+    repeats = ids.limit(1).count() > 0
+    united = members.join(ids.where("u < v").select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")).where("u != v")
+    # The row that names a class brings its signature.
+    own = members.join(classes.withColumnRenamed("node", "class"), (F.col("doc_id") == F.col("least")) & (F.col("node") == F.col("class")))
+    own = own.select("node", "bands")
+    own = own.dropDuplicates(["node"]) if repeats else own
     banded = stored(own.select("node", F.explode("bands").alias("bucket")), "buckets")
 
     centres = banded.groupBy("bucket").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u < top")
@@ -220,17 +231,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     wanted = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).distinct()
     # Stored, so that Spark plans the join by the true size of the ids; most texts have no partner.
-    wanted = stored(wanted, "wanted")
-    sets = texts.join(wanted, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_set_rows, "node long, shingles array<long>")
-    sets = stored(sets, "sets")
+    wanted = stored(classes.join(wanted, "node", "left_semi").select(F.col("least").alias("wanted")).distinct(), "wanted")
+    sets = texts.join(wanted, F.col("doc_id") == F.col("wanted"), "left_semi").mapInArrow(_set_rows, "node long, shingles array<long>")
+    sets = stored(sets.dropDuplicates(["node"]) if repeats else sets, "sets")
 
-    ids = members.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u < v")
-    repeated = members.join(ids.select("doc_id", "u"), "doc_id").select("u", F.col("node").alias("v")).where("u != v")
     # The centre that a member meets most often comes first; once that has settled most members,
     # only stars between different components are left to confirm.
-    likely = stars.groupBy("v").agg(F.max(F.struct("n", (-F.col("u")).alias("u"))).alias("m"))
-    likely = likely.select((-F.col("m.u")).alias("u"), "v")
-    links = stored(_confirm(likely, sets).unionByName(repeated), "links")
+    likely = stars.groupBy("v").agg(F.max(F.struct("n", "u")).alias("m")).select("m.u", "v")
+    links = stored(_confirm(likely, sets).unionByName(united), "links")
     others = _across(stars.select("u", "v").join(likely, ["u", "v"], "left_anti"), components(links))
     # Stored, so that Spark knows its size; only the sets that these pairs name are shuffled.
     others = stored(others, "others")
@@ -241,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     late = stored(_late_links(banded, own, sets, stars, found), "links")
     if late.limit(1).count():
         found = stored(components(links.unionByName(late)), "components")
-    return _with_components(signed, members, found)
+    return _with_components(signed, classes, found)
 
 
 def _across(pairs: DataFrame, found: DataFrame) -> DataFrame:
@@ -259,41 +267,37 @@ def _late_links(banded: DataFrame, own: DataFrame, sets: DataFrame, stars: DataF
         .join(found, "node", "left")
         .select("bucket", "node", F.coalesce("component", "node").alias("component"))
     )
-    split = placed.groupBy("bucket").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-    ).where("low < high and size > 2")  # of two members, the star has compared the only pair
-    split = split.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"))
-    spot = F.pmod(F.xxhash64("node"), F.col("n_blocks")).cast("int")
-    crowded = placed.join(split, "bucket").withColumn("spot", spot)
-    # Block pairs (i, j), i <= j: a member stands in each pair that holds its block.
-    paired = crowded.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        "bucket", F.least("spot", "other").alias("i"), F.greatest("spot", "other").alias("j"), "node", "component",
-        (F.col("spot") <= F.col("other")).alias("mine"),
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    split = (
+        parts.groupBy("bucket")
+        .agg(F.count("*").alias("n_parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("largest"))
+        .where("n_parts > 1 and size > 2")  # of two members, the star has compared the only pair
+        .select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("n_blocks"), F.col("largest.component").alias("largest"))
+    )
+    # Every member stands in one block; those outside the largest component visit all blocks.
+    crowded = stored(placed.join(split, "bucket"), "crowded")
+    there = crowded.select("bucket", F.pmod(F.xxhash64("node"), "n_blocks").cast("int").alias("block"), "node", "component", F.lit(False).alias("visits"))
+    visits = crowded.where("component != largest").select(
+        "bucket", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"), "node", "component", F.lit(True).alias("visits")
     )
-    # One row a node; rows of one doc_id with several texts were united before.
-    full = own.select("node", "bins", "bands").join(sets, "node").groupBy("node")
-    full = full.agg(*[F.first(c).alias(c) for c in ("bins", "bands", "shingles")])
     return (
-        paired.join(full, "node")
-        .groupBy("bucket", "i", "j")
+        there.unionByName(visits)
+        .join(own.join(sets, "node"), "node")
+        .groupBy("bucket", "block")
         .applyInArrow(_links_in_block, "u long, v long")
         .distinct()
     )
 
 
-def _with_components(signed: DataFrame, members: DataFrame, found: DataFrame) -> DataFrame:
-    # A component's smallest node is its smallest doc_id: a node is the smallest doc_id of its class.
-    of_doc = (
-        members.join(found, "node", "left")
-        .groupBy("doc_id")
-        .agg(F.min(F.coalesce("component", "node")).alias("component"))
-        .withColumnRenamed("doc_id", "id")
-    )
-    return signed.select("doc_id", "n_shingles").join(of_doc, F.col("doc_id") == F.col("id"), "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+def _with_components(signed: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Every row with the smallest doc_id of its component."""
+    joined = classes.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    names = stored(joined.join(least, "component").select(F.col("node").alias("class"), "component_id"), "names")
+    joined = signed.select("doc_id", "n_shingles", "node").join(names, F.col("node") == F.col("class"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return joined.select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
 

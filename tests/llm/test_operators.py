@@ -100,19 +100,65 @@ def test_crowded_bucket_finds_links_that_the_star_misses():
     rng = np.random.default_rng(0)
     pool = np.sort(rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2))
     sets = [pool[:200], pool[180:380], pool[185:380]]
-    keys, bins = minhash.signatures(sets)
+    keys, _ = minhash.signatures(sets)
     keys[:, 0] = 9
     keys[0, 1:] = 1
     table = pa.table(
         {
-            "bucket": [9] * 3, "node": [1, 2, 3], "component": [1, 2, 3], "mine": [True] * 3,
-            "bins": [b.tobytes() for b in bins], "bands": [k.view(np.int64).tolist() for k in keys],
+            "bucket": [9] * 3, "node": [1, 2, 3], "component": [1, 2, 3], "visits": [False, False, True],
+            "bands": [k.view(np.int64).tolist() for k in keys],
             "shingles": pa.array([s.view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
         }
     )
     assert minhash._links_in_block(table).to_pylist() == [{"u": 2, "v": 3}]
 
 
+@pytest.mark.parametrize("size", [3, 60, 3000, 20_000])
+def test_bitmaps_never_bound_too_low(size):
+    rng = np.random.default_rng(size)
+    pool = np.unique(rng.integers(0, 1 << 63, 2 * size).astype(np.uint64))
+    sets = [np.sort(rng.choice(pool, rng.integers(1, size + 1), replace=False)) for _ in range(12)]
+    ends = np.cumsum([0, *map(len, sets)])
+    maps, hidden = minhash.bitmaps(np.concatenate(sets), ends)
+    for i in range(12):
+        for j in range(12):
+            shared = int(np.bitwise_count(maps[i] & maps[j]).sum()) + min(hidden[i], hidden[j])
+            assert shared >= len(np.intersect1d(sets[i], sets[j]))
+
+
+def test_bucket_of_many_members_and_one_stray(spark, docs):
+    """Members of the largest component are shipped once, whatever else is in the bucket."""
+    n = 20_000
+    members = spark.range(n + 1).withColumnRenamed("id", "node")
+    banded = members.select("node", F.lit(7).cast("long").alias("bucket"))
+    bands = F.array(F.lit(7).cast("long"), *[(F.col("node") * 40 + i).cast("long") for i in range(1, minhash.BANDS)])
+    shingles = F.when(F.col("node") < n, F.array(F.lit(1).cast("long"), F.lit(2).cast("long"))).otherwise(F.array(F.lit(5).cast("long")))
+    own, sets = members.select("node", bands.alias("bands")), members.select("node", shingles.alias("shingles"))
+    stars = members.select(F.lit(0).cast("long").alias("u"), F.col("node").alias("v"), F.lit(1).alias("n"))
+    found = members.where(F.col("node") < n).select("node", F.lit(0).cast("long").alias("component"))
+    sent = spark.sparkContext.accumulator(0)
+    real = minhash._links_in_block
+    seen = lambda t: (sent.add(t.num_rows), real(t))[1]
+    minhash._links_in_block = lambda group: seen(group)
+    minhash._links_in_block.__annotations__ = real.__annotations__
+    try:
+        assert minhash._late_links(banded, own, sets, stars, found).count() == 0
+    finally:
+        minhash._links_in_block = real
+    assert n < sent.value < n + 100
+
+
+def test_minhash_repeated_ids_and_rows(spark, docs):
+    """Rows that share an id are one document, linked through any of its texts, in any order."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(list("abcdefghij"), 40)) for _ in range(6)]
+    rows = [(int(rng.integers(1, 12)), texts[int(rng.integers(6))]) for _ in range(40)] + [(50, texts[0] + " more"), (51, None), (None, texts[0])]
+    some = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, _ = components([r for r in rows if r[0] is not None])
+    for r in minhash.near_duplicates(some).collect():
+        assert r.component_id == (want[r.doc_id] if r.doc_id is not None else None)
+
+
 def test_densify_fills_every_bin():
     sets = [np.array([5], np.uint64), np.sort(np.random.default_rng(1).integers(0, 1 << 62, 30).astype(np.uint64))]
     keys, bins = minhash.signatures(sets)
@@ -356,11 +402,35 @@ def test_nearest_ties_go_to_the_smaller_id(spark):
         assert [v for _, v in sorted(got[ids[at]])] == ids[np.lexsort((ids, -s))[:5]].tolist()
 
 
-def test_top_of_a_block_breaks_ties_by_column():
+def test_no_likely_neighbour_is_left_out():
+    """Scores that differ by the rounding of a matrix product at most are all compared exactly."""
     rng = np.random.default_rng(11)
     scores = rng.integers(-3, 4, (200, 50)) / 7 + rng.normal(size=(200, 50)) * 1e-16
-    for row, top in zip(scores, lsh_ann._top(scores, 6)):
-        assert set(top) == set(np.lexsort((np.arange(50), -np.round(row, 12)))[:6])
+    row, column = lsh_ann._likely(scores, 6)
+    for i, some in enumerate(scores):
+        assert set(np.flatnonzero(np.round(some, 12) >= np.sort(np.round(some, 12))[-6])) <= set(column[row == i])
+
+
+def test_scores_are_cosines_of_the_original_vectors(spark, docs):
+    """Not rounded to some decimals, equal for multiples of a vector, and safe from overflow."""
+    from fractions import Fraction
+    from math import isqrt
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 8)) * 10.0 ** rng.integers(-150, 150, (60, 1))
+    x[40:50] = x[0] * 2.0 ** rng.integers(-40, 40, (10, 1))
+    x[50:55] = x[0] + x[0] * 1e-9 * rng.normal(size=(5, 8))
+    some = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        a, b = ([Fraction(float(v)) for v in y] for y in (a, b))
+        dot, size = sum(p * q for p, q in zip(a, b)), sum(p * p for p in a) * sum(q * q for q in b)
+        root = Fraction(isqrt(size.numerator * size.denominator << 400), size.denominator << 200)
+        return float(dot / root)
+
+    want = [(cosine(x[0], x[v]), v) for v in range(1, 60)]
+    got = [(r.score, r.vec_id) for r in lsh_ann.nearest(some, F.col("vec_id") == 0, 15).orderBy("rank").collect()]
+    assert got == sorted(want, key=lambda w: (-w[0], w[1]))[:15]
 
 
 def scanned(texts, templates=license_scan.TEMPLATES, coverage=license_scan.COVERAGE):
