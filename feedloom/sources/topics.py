@@ -19,25 +19,28 @@ AUDITED_BASES = SNAPSHOT_BASES[:5]
 CHANNEL_BASE = "telegram-feed"
 UNSUFFIXED_LEGACY_KEYS = ("bias-tracker",)
 
-# key, label, region, left / right / center stance label, timeline start, search terms
+# key, search terms, label, region, left / right / center stance label, timeline start
 TOPICS = (
     (
-        "iran-us", "Iran / U.S.", "Middle East",
-        "U.S. / Israel", "Iran", "Neutral / International", "2026-02-28",
+        "iran-us",
         "Iran, US, Israel, Middle East conflict, Strait of Hormuz, Gulf security, IRGC, Hezbollah, "
         "Iranian nuclear program, US sanctions Iran",
+        "Iran / U.S.", "Middle East",
+        "U.S. / Israel", "Iran", "Neutral / International", "2026-02-28",
     ),
     (
-        "ukraine-russia", "Ukraine / Russia", "Eastern Europe",
-        "Ukraine / West", "Russia", "Neutral / International", "2022-02-24",
+        "ukraine-russia",
         "Ukraine, Russia, Donbas, Crimea, NATO, Zelensky, Putin, Black Sea, Ukrainian counteroffensive, "
         "Russian invasion",
+        "Ukraine / Russia", "Eastern Europe",
+        "Ukraine / West", "Russia", "Neutral / International", "2022-02-24",
     ),
     (
-        "china-taiwan", "China / Taiwan", "Indo-Pacific",
-        "Taiwan / West", "China", "Neutral / International", "2024-01-01",
+        "china-taiwan",
         "China, Taiwan, South China Sea, Xi Jinping, Taiwan Strait, PLA, AUKUS, Indo-Pacific, "
         "Chinese military, semiconductor",
+        "China / Taiwan", "Indo-Pacific",
+        "Taiwan / West", "China", "Neutral / International", "2024-01-01",
     ),
 )
 ALL_LABELS = {
@@ -62,38 +65,38 @@ TOPIC_SOURCES = (
     ("china-taiwan", "https://apnews.com/hub/asia-pacific"),
     ("china-taiwan", "https://www.aljazeera.com/asia-pacific/"),
 )
-# topic, kind, name, title; order decides which person a partial name resolves to
+# topic, name, title, kind; order decides which person a partial name resolves to
 ROSTER = (
-    ("iran-us", "official", "Rafael Grossi", "Director General, IAEA"),
-    ("iran-us", "official", "Abbas Araghchi", "Foreign Minister, Iran"),
-    ("iran-us", "official", "Marco Rubio", "U.S. Secretary of State"),
-    ("iran-us", "official", "Esmail Baghaei", "Spokesperson, Iranian Foreign Ministry"),
-    ("iran-us", "official", "Antonio Guterres", "Secretary-General, United Nations"),
-    ("iran-us", "analyst", "Ali Vaez", "Iran Project Director, International Crisis Group"),
-    ("iran-us", "analyst", "Karim Sadjadpour", "Senior Fellow, Carnegie Endowment for International Peace"),
-    ("iran-us", "analyst", "Vali Nasr", "Professor, Johns Hopkins SAIS"),
-    ("iran-us", "analyst", "Trita Parsi", "Executive Vice President, Quincy Institute"),
-    ("iran-us", "analyst", "Sanam Vakil", "Director, Middle East and North Africa Programme, Chatham House"),
-    ("ukraine-russia", "official", "Volodymyr Zelensky", "President, Ukraine"),
-    ("ukraine-russia", "official", "Vladimir Putin", "President, Russia"),
-    ("ukraine-russia", "official", "Mark Rutte", "Secretary General, NATO"),
-    ("ukraine-russia", "official", "Sergei Lavrov", "Foreign Minister, Russia"),
-    ("ukraine-russia", "official", "Andrii Sybiha", "Foreign Minister, Ukraine"),
-    ("ukraine-russia", "analyst", "Michael Kofman", "Senior Fellow, Carnegie Endowment for International Peace"),
-    ("ukraine-russia", "analyst", "Dara Massicot", "Senior Fellow, Carnegie Endowment for International Peace"),
-    ("ukraine-russia", "analyst", "Lawrence Freedman", "Emeritus Professor of War Studies, King's College London"),
-    ("ukraine-russia", "analyst", "Fiona Hill", "Senior Fellow, Brookings Institution"),
-    ("ukraine-russia", "analyst", "Tatiana Stanovaya", "Senior Fellow, Carnegie Russia Eurasia Center"),
-    ("china-taiwan", "official", "Lai Ching-te", "President, Taiwan"),
-    ("china-taiwan", "official", "Xi Jinping", "President, China"),
-    ("china-taiwan", "official", "Wang Yi", "Foreign Minister, China"),
-    ("china-taiwan", "official", "Lin Chia-lung", "Foreign Minister, Taiwan"),
-    ("china-taiwan", "official", "Pete Hegseth", "U.S. Secretary of Defense"),
-    ("china-taiwan", "analyst", "Bonnie Glaser", "Managing Director, Indo-Pacific Program, German Marshall Fund"),
-    ("china-taiwan", "analyst", "M. Taylor Fravel", "Professor of Political Science, MIT"),
-    ("china-taiwan", "analyst", "Oriana Skylar Mastro", "Center Fellow, Stanford University"),
-    ("china-taiwan", "analyst", "Amanda Hsiao", "Director, China, Eurasia Group"),
-    ("china-taiwan", "analyst", "Wen-Ti Sung", "Fellow, Atlantic Council Global China Hub"),
+    ("iran-us", "Rafael Grossi", "Director General, IAEA", "official"),
+    ("iran-us", "Abbas Araghchi", "Foreign Minister, Iran", "official"),
+    ("iran-us", "Marco Rubio", "U.S. Secretary of State", "official"),
+    ("iran-us", "Esmail Baghaei", "Spokesperson, Iranian Foreign Ministry", "official"),
+    ("iran-us", "Antonio Guterres", "Secretary-General, United Nations", "official"),
+    ("iran-us", "Ali Vaez", "Iran Project Director, International Crisis Group", "analyst"),
+    ("iran-us", "Karim Sadjadpour", "Senior Fellow, Carnegie Endowment for International Peace", "analyst"),
+    ("iran-us", "Vali Nasr", "Professor, Johns Hopkins SAIS", "analyst"),
+    ("iran-us", "Trita Parsi", "Executive Vice President, Quincy Institute", "analyst"),
+    ("iran-us", "Sanam Vakil", "Director, Middle East and North Africa Programme, Chatham House", "analyst"),
+    ("ukraine-russia", "Volodymyr Zelensky", "President, Ukraine", "official"),
+    ("ukraine-russia", "Vladimir Putin", "President, Russia", "official"),
+    ("ukraine-russia", "Mark Rutte", "Secretary General, NATO", "official"),
+    ("ukraine-russia", "Sergei Lavrov", "Foreign Minister, Russia", "official"),
+    ("ukraine-russia", "Andrii Sybiha", "Foreign Minister, Ukraine", "official"),
+    ("ukraine-russia", "Michael Kofman", "Senior Fellow, Carnegie Endowment for International Peace", "analyst"),
+    ("ukraine-russia", "Dara Massicot", "Senior Fellow, Carnegie Endowment for International Peace", "analyst"),
+    ("ukraine-russia", "Lawrence Freedman", "Emeritus Professor of War Studies, King's College London", "analyst"),
+    ("ukraine-russia", "Fiona Hill", "Senior Fellow, Brookings Institution", "analyst"),
+    ("ukraine-russia", "Tatiana Stanovaya", "Senior Fellow, Carnegie Russia Eurasia Center", "analyst"),
+    ("china-taiwan", "Lai Ching-te", "President, Taiwan", "official"),
+    ("china-taiwan", "Xi Jinping", "President, China", "official"),
+    ("china-taiwan", "Wang Yi", "Foreign Minister, China", "official"),
+    ("china-taiwan", "Lin Chia-lung", "Foreign Minister, Taiwan", "official"),
+    ("china-taiwan", "Pete Hegseth", "U.S. Secretary of Defense", "official"),
+    ("china-taiwan", "Bonnie Glaser", "Managing Director, Indo-Pacific Program, German Marshall Fund", "analyst"),
+    ("china-taiwan", "M. Taylor Fravel", "Professor of Political Science, MIT", "analyst"),
+    ("china-taiwan", "Oriana Skylar Mastro", "Center Fellow, Stanford University", "analyst"),
+    ("china-taiwan", "Amanda Hsiao", "Director, China, Eurasia Group", "analyst"),
+    ("china-taiwan", "Wen-Ti Sung", "Fellow, Atlantic Council Global China Hub", "analyst"),
 )
 # channel id, short label
 CHANNELS = (
@@ -183,8 +186,8 @@ def topic_config(spark: SparkSession) -> DataFrame:
     rows = [(i, *t) for i, t in enumerate(TOPICS)]
     return spark.createDataFrame(
         rows,
-        "ord INT, conflict STRING, label STRING, region STRING, left_label STRING, right_label STRING, "
-        "center_label STRING, start_date STRING, search_terms STRING",
+        "ord INT, conflict STRING, search_terms STRING, label STRING, region STRING, left_label STRING, "
+        "right_label STRING, center_label STRING, start_date STRING",
     )
 
 
@@ -196,7 +199,7 @@ def topic_sources(spark: SparkSession) -> DataFrame:
 
 def topic_roster(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(
-        [(c, i, n, t, k) for i, (c, k, n, t) in enumerate(ROSTER)],
+        [(c, i, n, t, k) for i, (c, n, t, k) in enumerate(ROSTER)],
         "conflict STRING, ord INT, name STRING, title STRING, kind STRING",
     )
 
