@@ -1,15 +1,20 @@
 """Remove byte strings that an earlier document holds, by suffix arrays of shards.
 
-1. Winnowing marks anchors, 20-byte strings so chosen that equal 50-byte strings
-   hold an equal anchor at the same place. Anchors that one document alone has are
+1. Of equal whole texts the smallest document stands for all; the others go as a
+   whole and take no further part.
+2. Winnowing marks anchors, 20-byte strings so chosen that equal 50-byte strings
+   hold an equal anchor at the same place. Anchors that one text alone has are
    out; this first look goes by hash and may only let too much pass.
-2. The others are dealt out with the 30 bytes on both sides, range-partitioned and
-   sorted by anchor and context, so a very common anchor spreads over many shards.
-3. Each shard builds the suffix array of its contexts (Larsson-Sadakane) and their
-   common prefixes (Kasai). Suffixes that share 50 bytes are one class; in it, all
-   documents but the smallest lose the string.
-4. Anchors that cross the border of a shard leave the sorted class table of their
-   strings; the tables are dealt out by string range and merged by binary search.
+3. The others are dealt out with the 30 bytes on both sides, range-partitioned and
+   sorted by anchor and context. A very common anchor spreads over many shards, any
+   other stays in one.
+4. Each shard builds the suffix array of its distinct contexts (Larsson-Sadakane) and
+   their common prefixes (Kasai). Suffixes that share 50 bytes are one class; in it,
+   all documents but the smallest lose the string. Where all rows of an anchor have
+   one context, or one document, that is known without it.
+5. Very common anchors that cross the border of a shard leave the sorted class table
+   of their strings; the tables are dealt out by string range and merged by binary
+   search.
 """
 
 from __future__ import annotations
@@ -29,7 +34,8 @@ from feedloom.llm.text_arrays import Block, as_long, blocks
 MATCH = 50
 ANCHOR = 20
 SIDE = MATCH - ANCHOR
-HOT = 1 << 16  # rows of an anchor that is cut at shard borders
+HOT = 1 << 13  # rows of an anchor that may be cut at shard borders
+BUCKET = 1 << 25  # bytes of anchor hashes that are looked at together
 SAMPLE = 0.01
 SHARD = 1 << 20  # bytes of distinct contexts in one suffix array
 BLOCK = 1 << 19
@@ -61,11 +67,11 @@ def _sliding(x: np.ndarray, best) -> np.ndarray:
 
 
 def _deal_anchors(n_buckets: int):
-    """One row for each block and bucket: hashes found in the block, once each, and who has them."""
+    """One row for each block and bucket: hashes found in the block, once each, and which texts have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("text_key").to_numpy(zero_copy_only=False)
             for block in blocks(batch.column("text"), 4 * BLOCK):
                 at, hashes = anchors(block)
                 own = ids[block.first + block.owner(at)]
@@ -74,11 +80,11 @@ def _deal_anchors(n_buckets: int):
                 first = np.ones(len(own), bool)
                 first[1:] = hashes[1:] != hashes[:-1]
                 starts = np.flatnonzero(first)
-                several = np.zeros(len(own), bool)  # of several documents here
+                several = np.zeros(len(own), bool)  # of several texts here
                 if len(starts):
                     ends = np.append(starts[1:], len(own))
                     several = np.repeat(own[starts] != own[ends - 1], ends - starts)
-                # Documents after the first know already that they share the anchor.
+                # Texts after the first know already that they share the anchor.
                 known = several & ~first & np.append(True, own[1:] != own[:-1])
                 bucket = (hashes % np.uint64(n_buckets)).astype(np.int32)
                 short = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -92,36 +98,40 @@ def _deal_anchors(n_buckets: int):
     return run
 
 
-HASHES = "bucket int, kind int, hashes binary, docs binary, several binary"
+HASHES = "bucket int, kind int, hashes binary, texts binary, several binary"
 
 
 def _hash_row(bucket: int, kind: int, hashes: np.ndarray, docs: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
     cells = [hashes.tobytes(), docs.astype(np.int64).tobytes(), np.packbits(several).tobytes()]
     return pa.RecordBatch.from_arrays(
         [pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), *(pa.array([c], pa.binary()) for c in cells)],
-        names=["bucket", "kind", "hashes", "docs", "several"],
+        names=["bucket", "kind", "hashes", "texts", "several"],
     )
 
 
 def _shared_hashes(group: pa.Table) -> pa.Table:
-    """``doc_id, hashes``: of a bucket, the hashes that several documents have."""
+    """``text_key, hashes``: of a bucket, the hashes that several texts have."""
     found, docs, kinds, several = [], [], [], []
-    for kind, h, d, s in zip(*(group.column(c).to_pylist() for c in ("kind", "hashes", "docs", "several"))):
+    for kind, h, d, s in zip(*(group.column(c).to_pylist() for c in ("kind", "hashes", "texts", "several"))):
         found.append(np.frombuffer(h, np.uint32))
         docs.append(np.frombuffer(d, np.int64))
         kinds.append(np.full(len(found[-1]), kind))
         several.append(np.unpackbits(np.frombuffer(s, np.uint8), count=len(found[-1])).astype(bool))
     found, docs, kinds, several = map(np.concatenate, (found, docs, kinds, several))
-    values, which, counts = np.unique(found, return_inverse=True, return_counts=True)
-    shared = counts > 1
-    np.logical_or.at(shared, which[several], True)
-    keep = shared[which] | (kinds == 1)
+    # Sorted by hash and text: shared are the hashes that are marked or have more than one text.
+    order = np.lexsort((docs, found))
+    found, docs, keep = found[order], docs[order], (kinds == 1)[order]
+    starts = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+    ends = np.r_[starts[1:], len(found)] - 1
+    shared = (docs[starts] != docs[ends]) | np.logical_or.reduceat(several[order], starts)
+    keep |= np.repeat(shared, np.diff(np.r_[starts, len(found)]))
+    keep[1:] &= (found[1:] != found[:-1]) | (docs[1:] != docs[:-1])  # a text's copies say it again
     docs, found = docs[keep], found[keep]
-    order = np.lexsort((found, docs))
+    order = np.argsort(docs, kind="stable")
     docs, found = docs[order], found[order]
     cuts = np.flatnonzero(np.diff(docs, prepend=docs[0] - 1)) if len(docs) else np.zeros(0, int)
     cells = [found[i:j].tobytes() for i, j in zip(cuts, np.append(cuts[1:], len(docs)))]
-    return pa.table({"doc_id": pa.array(docs[cuts], pa.int64()), "hashes": pa.array(cells, pa.binary())})
+    return pa.table({"text_key": pa.array(docs[cuts], pa.int64()), "hashes": pa.array(cells, pa.binary())})
 
 
 CONTEXTS = "anchor long, context binary, at int, doc long, text_key long, place long"
@@ -172,22 +182,40 @@ def _match_rows(kind: int, doc, key, first, last, window) -> pa.RecordBatch:
     )
 
 
-def _shard(rows: list[pa.RecordBatch], open_left: bool, open_right: bool) -> Iterator[pa.RecordBatch]:
-    """Matches inside a shard; strings of its border anchors, if the border is open."""
-    table = pa.Table.from_batches(rows).combine_chunks()
+def _shard(table: pa.RecordBatch, open_left: bool, open_right: bool) -> Iterator[pa.RecordBatch]:
+    """Matches inside a shard; strings of its first and last anchor, if these go on beyond it."""
     anchor, doc, key, place = (table.column(c).to_numpy() for c in ("anchor", "doc", "text_key", "place"))
-    cells = table.column("context").combine_chunks()
-    cells = cells.chunk(0) if isinstance(cells, pa.ChunkedArray) else cells
+    cells = table.column("context")
     ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
     data = np.frombuffer(cells.buffers()[2], np.uint8)[ends[0] : ends[-1]]
     ends -= ends[0]
     # Rows are sorted by anchor, context and document: equal contexts stand together.
     sizes = np.diff(ends)
     digest = Block(data, ends, 0).hasher()(ends[:-1], ends[1:])
-    new = np.ones(len(doc), bool)
-    new[1:] = (digest[1:] != digest[:-1]) | (sizes[1:] != sizes[:-1]) | (anchor[1:] != anchor[:-1])
+    fresh = np.r_[True, anchor[1:] != anchor[:-1]]
+    new = fresh.copy()
+    new[1:] |= (digest[1:] != digest[:-1]) | (sizes[1:] != sizes[:-1])
     head = np.flatnonzero(new)  # the first row of each context holds its smallest document
-    which = np.cumsum(new) - 1
+    least_of = doc[head][np.cumsum(new) - 1]
+    # Whoever repeats a smaller document's context loses all of it.
+    again = np.flatnonzero((doc > least_of) & (sizes >= MATCH))
+    if len(again):
+        yield _match_rows(COVERED, doc[again], key[again], place[again], place[again] + sizes[again], None)
+
+    edge = np.zeros(len(doc), bool)
+    if open_left:
+        edge |= anchor == anchor[0]
+    if open_right:
+        edge |= anchor == anchor[-1]
+    starts = np.flatnonzero(fresh)
+    alike = np.add.reduceat(new.astype(np.int64), starts) == 1
+    alike |= np.minimum.reduceat(doc, starts) == np.maximum.reduceat(doc, starts)
+    open_rows = edge | ~np.repeat(alike, np.diff(np.r_[starts, len(doc)]))
+    rest = np.flatnonzero(open_rows & (doc == least_of))
+    if not len(rest):
+        return
+    head = np.flatnonzero(new & open_rows)
+    which = np.searchsorted(head, rest, side="right") - 1
     size = sizes[head]
     begin = np.concatenate([[0], np.cumsum(size)])
     text = data[np.arange(begin[-1]) + np.repeat(ends[head] - begin[:-1], size)]
@@ -205,58 +233,60 @@ def _shard(rows: list[pa.RecordBatch], open_left: bool, open_right: bool) -> Ite
     np.minimum.at(least, group, doc[head[owner[suffix]]])
     lowest = np.empty(len(text), np.int64)
     lowest[suffix] = least[group]
-    valid = np.zeros(len(text), bool)
-    valid[suffix] = True
     # For each row, the first and last window of its context that a smaller document has.
-    starts, reach = begin[:-1][which], np.maximum(0, size[which] - MATCH + 1)
+    doc, key, place, edge = doc[rest], key[rest], place[rest], edge[rest]
+    first, reach = begin[:-1][which], np.maximum(0, size[which] - MATCH + 1)
     row = np.repeat(np.arange(len(doc)), reach)
     step = np.arange(len(row)) - np.repeat(np.cumsum(reach) - reach, reach)
-    hit = lowest[starts[row] + step] < doc[row]
-    row, step = row[hit], step[hit]
-    if len(row):
-        cut = np.flatnonzero(np.diff(row, prepend=-1))
-        last = np.append(cut[1:], len(row)) - 1
-        r = row[cut]
-        yield _match_rows(COVERED, doc[r], key[r], place[r] + step[cut], place[r] + step[last] + MATCH, None)
-    edge = np.zeros(len(doc), bool)
-    if open_left:
-        edge |= anchor == anchor[0]
-    if open_right:
-        edge |= anchor == anchor[-1]
-    row = np.flatnonzero(edge)
-    reach = reach[row]
-    step = np.arange(int(reach.sum())) - np.repeat(np.cumsum(reach) - reach, reach)
-    row = np.repeat(row, reach)
-    mine = lowest[starts[row] + step] == doc[row]  # the others are matched already
+    known = lowest[first[row] + step]
+    hit = known < doc[row]
+    r, t = row[hit], step[hit]
+    if len(r):
+        cut = np.flatnonzero(np.diff(r, prepend=-1))
+        last = np.append(cut[1:], len(r)) - 1
+        r = r[cut]
+        yield _match_rows(COVERED, doc[r], key[r], place[r] + t[cut], place[r] + t[last] + MATCH, None)
+    mine = edge[row] & (known == doc[row])  # the others are matched already
     row, step = row[mine], step[mine]
     if len(row):
-        spots = (starts[row] + step)[:, None] + np.arange(MATCH)
+        spots = (first[row] + step)[:, None] + np.arange(MATCH)
         flat = text[spots].ravel()
         window = pa.FixedSizeBinaryArray.from_buffers(pa.binary(MATCH), len(row), [None, pa.py_buffer(flat)]).cast(pa.binary())
         yield _match_rows(BORDER, doc[row], key[row], place[row] + step, place[row] + step + MATCH, window)
 
 
 def _match_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cut a sorted partition into shards, at the end of an anchor where that is possible."""
+    """Cut a sorted partition into shards, inside an anchor only if it is a very common one."""
     held: list[pa.RecordBatch] = []
-    n_bytes, open_left = 0, True
+    n_bytes, most, begins = 0, SHARD, None  # begins: the anchor that the last shard was cut in
+
+    def shard(table: pa.RecordBatch, last: bool) -> Iterator[pa.RecordBatch]:
+        anchor, hot = table.column("anchor").to_numpy(), table.column("hot")
+        open_left = hot[0].as_py() and begins in (None, int(anchor[0]))
+        return _shard(table, open_left, last and hot[len(anchor) - 1].as_py())
+
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         n_bytes += batch.column("context").nbytes
-        if n_bytes >= SHARD:
-            anchor = batch.column("anchor").to_numpy()
-            others = np.flatnonzero(anchor != anchor[-1])
-            split = len(others) > 0  # else one anchor fills the batch: the shard ends inside it
-            at = int(others[-1]) + 1 if split else 0
-            rest = batch.slice(at) if split else None
-            if split:
-                held[-1] = batch.slice(0, at)
-            yield from _shard(held, open_left, not split)
-            held, n_bytes, open_left = ([rest], rest.column("context").nbytes, False) if split else ([], 0, True)
+        if n_bytes < most:
+            continue
+        table = pa.concat_batches(held)
+        anchor = table.column("anchor").to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))
+        if cut:
+            yield from shard(table.slice(0, cut), False)
+            held, begins = [table.slice(cut)], int(anchor[cut - 1])
+        elif table.column("hot")[0].as_py():
+            yield from shard(table, True)
+            held, begins = [], int(anchor[0])
+        else:
+            held = [table]
+        n_bytes = sum(b.column("context").nbytes for b in held)
+        most = max(SHARD, 2 * n_bytes)
     if held:
-        yield from _shard(held, open_left, True)
+        yield from shard(pa.concat_batches(held), True)
 
 
 def _merge_borders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,30 +324,43 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     nothing. An empty table gives no rows. Other columns are ignored.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = keyed_texts(docs).where(F.col("doc_id").isNotNull())
-    dealt = texts.select("doc_id", "text").mapInArrow(_deal_anchors(2 * parts), HASHES)
-    shared = stored(dealt.groupBy("bucket").applyInArrow(_shared_hashes, "doc_id long, hashes binary"), "shared")
-    by_doc = shared.groupBy("doc_id").agg(F.collect_list("hashes").alias("shared"))  # of one document
-    contexts = stored(
-        texts.join(by_doc.hint("shuffle_hash"), "doc_id").mapInArrow(_context_rows, CONTEXTS), "contexts"
-    )
-    # Only anchors with very many rows are cut at shard borders; a sample finds them, and what it
+    texts = keyed_texts(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    # Equal texts: 128 bits of hash, so that none is taken for another's copy.
+    rows = texts.select("doc_id", "text_key", F.xxhash64(F.lit(1), "text").alias("check"), F.octet_length("text").alias("size"))
+    rows = stored(rows, "text-keys")
+    classes = stored(rows.groupBy("text_key", "check", "size").agg(F.min("doc_id").alias("least")), "text-classes")
+    total = classes.agg(F.sum("size")).first()[0] or 0
+    # About one anchor in sixteen bytes, each with twelve bytes of hash and text.
+    buckets = max(2 * parts, -(-total // BUCKET))
+    dealt = texts.select("text_key", "text").mapInArrow(_deal_anchors(buckets), HASHES)
+    shared = stored(dealt.groupBy("bucket").applyInArrow(_shared_hashes, "text_key long, hashes binary"), "shared")
+    by_text = shared.groupBy("text_key").agg(F.collect_list("hashes").alias("shared"))  # of one text
+    by_text = by_text.join(classes.select("text_key", "least"), "text_key").withColumnRenamed("text_key", "class")
+    met = (F.col("doc_id") == F.col("least")) & (F.col("text_key") == F.col("class"))
+    contexts = stored(texts.join(by_text.hint("shuffle_hash"), met).mapInArrow(_context_rows, CONTEXTS), "contexts")
+    # Only anchors with very many rows may be cut at shard borders; a sample finds them, and what it
     # misses stays in one shard. The result doesn't depend on it.
     common = contexts.sample(SAMPLE, seed=3).groupBy("anchor").count().where(F.col("count") >= SAMPLE * HOT)
-    common = stored(common.select(F.col("anchor").alias("hot")), "hot-anchors")
+    common = stored(common.select(F.col("anchor").alias("common")), "hot-anchors")
     if common.limit(10_001).count() <= 10_000:
         common = F.broadcast(common)
-    hot = F.col("hot").isNotNull()
+    hot = F.col("hot")
     sorted_contexts = (
-        contexts.join(common, F.col("anchor") == F.col("hot"), "left")
+        contexts.join(common, F.col("anchor") == F.col("common"), "left")
+        .withColumn("hot", F.col("common").isNotNull())
+        .drop("common")
         .repartitionByRange(parts, "anchor", F.when(hot, F.col("context")), F.when(hot, F.col("doc")))
-        .drop("hot")
         .sortWithinPartitions("anchor", "context", "doc")
     )
     matches = stored(sorted_contexts.mapInArrow(_match_shards, MATCHES), "matches")
     border = matches.where(F.col("kind") == BORDER).select("doc", "text_key", "first", "last", "window")
     merged = border.repartitionByRange(parts, "window").sortWithinPartitions("window").mapInArrow(_merge_borders, MATCHES)
-    covered = matches.where(F.col("kind") == COVERED).unionByName(merged).groupBy("doc", "text_key")
+    copies = rows.join(classes, ["text_key", "check", "size"]).where((F.col("doc_id") > F.col("least")) & (F.col("size") >= MATCH))
+    copies = copies.select(
+        F.lit(COVERED).alias("kind"), F.col("doc_id").alias("doc"), "text_key", F.lit(0).cast("long").alias("first"),
+        F.col("size").cast("long").alias("last"), F.lit(None).cast("binary").alias("window"),
+    )
+    covered = matches.where(F.col("kind") == COVERED).unionByName(merged).unionByName(copies).groupBy("doc", "text_key")
     found = covered.agg(F.collect_set(F.struct("first", "last")).alias("found"))  # of one document
     spans = "array<struct<first: bigint, last: bigint>>"
     return found.select(F.col("doc").alias("doc_id"), "text_key", "found").mapInArrow(

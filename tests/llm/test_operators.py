@@ -194,6 +194,43 @@ def test_suffix_dedup(spark, docs, rows, empty, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("parts", [2, 24])
+def test_very_common_anchors_cross_shards(spark, docs, parts):
+    """Twelve thousand near copies: their anchors are cut at borders of shards and partitions."""
+    rng = np.random.default_rng(9)
+    letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
+    passage = rng.choice(letters, 90).tobytes()
+    rows = []
+    for i in range(12_000):
+        own = rng.choice(letters, (2, 40))
+        text = own[0].tobytes() + passage + own[1].tobytes()
+        if i % 7 == 0:
+            text = bytearray(text)
+            text[40 + i % 90] = ord("!")
+        rows.append((int(i * 7919 % 30_011), bytes(text).decode()))
+    rows += [(40_000 + i, rows[i % 50][1]) for i in range(3000)] + [(50_000, "z" * 49), (50_001, "z" * 49), (50_002, "y" * 60), (50_003, "y" * 61)]
+    least = {}
+    for d, t in rows:
+        for k in range(len(t) - 49):
+            w = t[k : k + 50]
+            least[w] = min(d, least.get(w, d))
+    want = []
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if least[t[k : k + 50]] < d:
+                gone[k : k + 50] = True
+        raw = np.frombuffer(t.encode(), np.uint8)
+        want.append((d, len(t), int(gone.sum()), int(np.count_nonzero(np.diff(gone, prepend=False) & gone)), sha(raw[~gone].tobytes())))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted(map(tuple, suffix_dedup.span_digests(df).collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     for _ in range(20):
