@@ -1,10 +1,14 @@
-"""Find licence notices: equal word pairs pick candidates, windows around them are aligned and measured.
-
-Templates are cut into all their word pairs, held in an inverted index. A
-document's pairs look up the templates; a window that holds enough pairs of a
-template is aligned with it from every start, which gives the best matched share
-and the span, also where words were changed, dropped or put in. Of notices that
-overlap the one that explains the words best is reported.
+"""Find licence notices: winnowed fingerprints pick candidates, a banded alignment measures them.
+
+The fingerprints of a template are hashes of its word pairs, winnowed and held in an
+inverted index. How wide the winnowing windows are follows from template and coverage:
+words may be changed, dropped and put in, but the matched words of any notice hold a
+run of some length, and a window as long as that run's pairs is sure to choose a pair
+of it on both sides. Where the run may be as short as two words, as with short
+templates or loose coverage, the window is one and all pairs are kept. Stretches with
+enough fingerprints are aligned from every start, inside the band of diagonals that
+the allowed number of lacking and inserted words leaves. Of notices that overlap the
+one that explains the words best is reported.
 """
 
 from __future__ import annotations
@@ -111,21 +115,44 @@ def sure_pairs(n_words: int, coverage: float) -> int:
     return max(0, least)
 
 
+def least_run(n_words: int, coverage: float) -> int:
+    """Matched words in a row that every notice of a template of ``n_words`` holds at least."""
+    least = n_words
+    for span in range(1, widest(n_words, coverage) + 1):
+        m = math.ceil(coverage * max(n_words, span) - 1e-9)
+        if m <= min(span, n_words):
+            least = min(least, -(-m // (n_words - m + span - m + 1)))
+    return least
+
+
+def winnow(at: np.ndarray, values: np.ndarray, owner: np.ndarray, window: int) -> np.ndarray:
+    """Which fingerprints are the least of a window of consecutive ones of their document."""
+    if window == 1 or len(values) < window:
+        return np.arange(len(values)) if window == 1 else np.zeros(0, np.int64)
+    inside = owner[at[: len(at) - window + 1]] == owner[at[window - 1 :]]
+    least = np.lib.stride_tricks.sliding_window_view(values, window)[inside].argmin(1)
+    return np.unique(np.flatnonzero(inside) + least)
+
+
 class Index:
-    """Words of the templates, and which word (kind 1) or word pair (kind 2) stands in which of them."""
+    """Fingerprints of the templates, by words in them and winnowing window, and which stand in which template."""
 
     def __init__(self, templates: dict[str, str], coverage: float):
         self.names, self.words, self.need = [], [], []
-        grams: dict[int, list] = {1: [], 2: []}
+        grams: dict[tuple[int, int], list] = {}
         for name, text in templates.items():
             raw = np.frombuffer(text.encode(), np.uint8)
             hashes, _, _, owner = words_of(Block(raw, np.array([0, len(raw)]), 0))
             if not len(hashes):
                 continue
-            need = sure_pairs(len(hashes), coverage)
+            window = max(1, least_run(len(hashes), coverage) - 1)
+            # One fingerprint is sure with wider windows; all pairs allow to ask for more of them.
             # Where a notice need not share a pair, it shares a word at least.
-            kind = 2 if need else 1
-            grams[kind].append((len(self.names), np.unique(window_hashes(hashes, owner, 2)[1] if need else hashes)))
+            need = 1 if window > 1 else sure_pairs(len(hashes), coverage)
+            size = 2 if need else 1
+            at, values = window_hashes(hashes, owner, size) if size == 2 else (np.arange(len(hashes)), hashes)
+            chosen = np.unique(values[winnow(at, values, owner, window)])
+            grams.setdefault((size, window), []).append((len(self.names), chosen))
             self.names.append(name)
             self.words.append(hashes)
             self.need.append(need or math.ceil(coverage * len(hashes) - 1e-9))
@@ -133,7 +160,7 @@ class Index:
             raise ValueError(f"templates hold over {MAX_TEMPLATE_WORDS} words; scan with parts of them")
         self.known, self.members = {}, {}
         for kind, some in grams.items():
-            self.known[kind] = np.unique(np.concatenate([g for _, g in some])) if some else np.zeros(0, np.uint64)
+            self.known[kind] = np.unique(np.concatenate([g for _, g in some]))
             self.members[kind] = [(t, np.isin(self.known[kind], g)) for t, g in some]
 
     def ranked(self, t: int, begin: int, span: int, m: int) -> tuple:
@@ -143,14 +170,16 @@ class Index:
 
     def candidates(self, hashes: np.ndarray, owner: np.ndarray, coverage: float) -> Iterator[tuple[int, int, int]]:
         """Template, first and past-last word of every stretch in which notices may begin; they reach no further than ``widest``."""
-        for kind, known in self.known.items():
+        for (kind, window), known in self.known.items():
             if not len(known) or len(hashes) < kind:
                 continue
             at, values = window_hashes(hashes, owner, 2) if kind == 2 else (np.arange(len(hashes)), hashes)
+            chosen = winnow(at, values, owner, window)
+            at, values = at[chosen], values[chosen]
             spot = np.minimum(np.searchsorted(known, values), len(known) - 1)
             hit = known[spot] == values
             at, spot = at[hit], spot[hit]
-            for t, member in self.members[kind]:
+            for t, member in self.members[kind, window]:
                 own = at[member[spot]]
                 need, reach = self.need[t], widest(len(self.words[t]), coverage)
                 if len(own) < need:
@@ -176,8 +205,12 @@ def align(template: np.ndarray, text: np.ndarray, begins: np.ndarray, coverage:
 
     The matched words are a longest common subsequence of template and span. The
     best span has most matched words when those that it lacks or adds are taken off.
+    A matched word stands at most ``lacking`` words earlier and ``added`` words later in
+    the span than in the template, so only this band of the table is worked out.
     """
     n, width = len(template), widest(len(template), coverage)
+    lacking = math.floor(n - coverage * n + 1e-9)
+    added = math.floor(width - coverage * width + 1e-9)
     begins = begins[np.isin(text[begins], template)]
     spans = np.arange(1, width + 1)
     whole = np.maximum(n, spans)
@@ -195,10 +228,11 @@ def align(template: np.ndarray, text: np.ndarray, begins: np.ndarray, coverage:
         if not len(some):
             continue
         best = np.zeros((len(some), width + 1), np.int32)
-        for word in template:
-            new = best.copy()
-            np.maximum(best[:, 1:], best[:, :-1] + ((near == word) & inside), out=new[:, 1:])
-            best = np.maximum.accumulate(new, axis=1)
+        for i, word in enumerate(template):
+            low, high = max(0, i - lacking), min(width, i + added + 1)
+            row = best[:, low : high + 1].copy()
+            np.maximum(row[:, 1:], row[:, :-1] + ((near[:, low:high] == word) & inside[:, low:high]), out=row[:, 1:])
+            best[:, low : high + 1] = np.maximum.accumulate(row, axis=1)
         # Only spans that end in a matched word.
         fits = (best[:, 1:] > best[:, :-1]) & (best[:, 1:] >= coverage * whole - 1e-9)
         score = np.where(fits, 2 * best[:, 1:] - whole, -n - width)

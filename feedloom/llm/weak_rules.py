@@ -159,12 +159,12 @@ class VoteModel:
         return F.lit(1.0) / (1 + F.exp(-score))
 
 
-def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smooth: float = 1.0) -> VoteModel:
+def fit_votes(patterns: np.ndarray, counts: np.ndarray, smooth: float = 1.0, still: float = 1e-9) -> VoteModel:
     """Expectation-maximisation over vote patterns and their counts.
 
     It starts from the number of bad votes, which fixes what "good" means (most
     rules have nothing to say on most faults, so one objection weighs more than
-    many approvals), and stops when the posteriors stand still. Rules are taken as
+    many approvals), and goes on until no posterior moves by ``still``. Rules are taken as
     independent given the class.
     """
     n_rules = patterns.shape[1] if patterns.ndim == 2 else 0
@@ -173,7 +173,8 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoot
         return VoteModel(0.5, flat, flat)
     good = np.array([0.95, 0.4, 0.1])[np.minimum(2, (patterns < 0).sum(1))]
     onehot = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
-    for _ in range(rounds):
+    moved = 1.0
+    while moved >= still:
         weight = [counts * good, counts * (1 - good)]
         prior = np.clip(weight[0].sum() / counts.sum(), 1e-6, 1 - 1e-6)
         logs = []
@@ -184,8 +185,6 @@ def fit_votes(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoot
         now = 1 / (1 + np.exp(-np.clip(lift, -500, 500)))
         moved = np.abs(now - good).max()
         good = now
-        if moved < 1e-9:
-            break
     return VoteModel(float(prior), logs[0].tolist(), logs[1].tolist())
 
 

@@ -520,10 +520,31 @@ def common_words(a, b):
     return row
 
 
-@pytest.mark.parametrize("coverage", [0.8, 0.6, 1.0])
+def test_winnowing_windows_follow_template_and_coverage():
+    """A window never outgrows the run of matched words that a notice is sure to hold."""
+    for n in (1, 2, 7, 30, 60):
+        for coverage in (0.6, 0.8, 0.9, 0.97, 1.0):
+            run = license_scan.least_run(n, coverage)
+            for lacking in range(n + 1):
+                for added in range(n + 1):
+                    m = n - lacking
+                    if m and m >= coverage * max(n, m + added) - 1e-9:
+                        assert run <= -(-m // (lacking + added + 1))
+    windows = {key[1] for key in license_scan.Index(license_scan.TEMPLATES, 0.97).known}
+    assert max(windows) > 5 and {k[1] for k in license_scan.Index(license_scan.TEMPLATES, 0.8).known} == {1, 2}
+    rng = np.random.default_rng(2)
+    for _ in range(50):  # a shared run of eleven values, anywhere, shares a chosen one
+        run = rng.integers(0, 9, 11)
+        a, b = (np.concatenate([rng.integers(0, 9, k), run, rng.integers(0, 9, 5)]) for k in rng.integers(0, 9, 2))
+        chosen = [set(x[license_scan.winnow(np.arange(len(x)), x, np.zeros(len(x), int), 11)].tolist()) for x in (a, b)]
+        assert chosen[0] & chosen[1]
+
+
+@pytest.mark.parametrize("coverage", [0.8, 0.6, 1.0, 0.9, 0.93])
 def test_license_scan_matches_plain_alignment_at_every_place(coverage):
     rng = np.random.default_rng(9)
-    templates = {"one": "z", "two": "y z", "five": "a b c d a", "six": "a b e c d a", "nine": "b a a c e d b f c", "twelve": "a b c d e f a b g h i j"}
+    templates = {"one": "z", "two": "y z", "five": "a b c d a", "six": "a b e c d a", "nine": "b a a c e d b f c", "twelve": "a b c d e f a b g h i j",
+                 "long": "a b c d e f g h i j k l m n a c e g i k m b d f h j l n"}
     texts = [""]
     for _ in range(150):
         words = []
