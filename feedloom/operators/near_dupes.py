@@ -17,10 +17,14 @@ it can be settled in rounds instead of one long loop:
    many rows hold it.
 4. In each round an item that is first in all its cliques is kept and everyone
    else in those cliques is dropped.  Rounds are checkpointed to shared storage.
+   Once a bounded number of rows is left, one task reads them in order and ends it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,25 @@ from feedloom.session import cut_lineage
 MIN_SHARED = 4
 # A posting list up to this long is compared pairwise; a longer one is split.
 MAX_POSTING = 128
+# Rows of undecided members that one task may hold: two numbers each.
+LAST_ROWS = 500_000
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kept items of rows ``oid, clique`` sorted by ``oid``: those with no kept item before them in a clique."""
+    taken: set[int] = set()
+    kept: list[int] = []
+    own, cliques = None, []
+    for batch in [*batches, None]:
+        rows = [(None, None)] if batch is None else zip(batch.column("oid").to_pylist(), batch.column("clique").to_pylist())
+        for oid, clique in rows:
+            if oid != own:
+                if cliques and taken.isdisjoint(cliques):
+                    kept.append(own)
+                    taken.update(cliques)
+                own, cliques = oid, []
+            cliques.append(clique)
+    yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64())], names=["oid"])
 
 
 class TitleGroups:
@@ -45,9 +68,11 @@ class TitleGroups:
         items: DataFrame,
         min_shared: int = MIN_SHARED,
         max_posting: int = MAX_POSTING,
+        last_rows: int = LAST_ROWS,
     ):
         self.min_shared = min_shared
         self.max_posting = max_posting
+        self.last_rows = last_rows
         # Unnesting a one-element array keeps the size filters below from being
         # pushed under the word splitting, which would then run twice per title.
         self.sets = items.select(
@@ -194,7 +219,7 @@ class TitleGroups:
         shrinking rest every fourth.
         """
         live, kept, step = self.members, None, 0
-        while not live.isEmpty():
+        while (left := live.limit(self.last_rows + 1).count()) > self.last_rows:
             heads = live.groupBy("clique").agg(F.min("oid").alias("head"))
             marked = live.join(heads, "clique").select("oid", "head")
             is_head = F.col("oid") == F.col("head")
@@ -210,6 +235,10 @@ class TitleGroups:
             step += 1
             if step % 4 == 0:
                 live, kept = cut_lineage(live), cut_lineage(kept)
+        if left:
+            rest = live.select("oid", F.xxhash64("clique").alias("clique")).repartition(1).sortWithinPartitions("oid")
+            last = cut_lineage(rest.mapInArrow(_one_by_one, "oid long"))
+            kept = last if kept is None else kept.unionByName(last)
         return live.select("oid") if kept is None else kept
 
 

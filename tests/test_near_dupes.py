@@ -53,7 +53,10 @@ def random_rows(seed, n, vocabulary, per_title, groups=2):
     (4, 100, 12, 8, 2),
 ])
 def test_matches_one_by_one(spark, seed, n, vocabulary, per_title, posting):
-    check(spark, random_rows(seed, n, vocabulary, per_title), max_posting=posting)
+    rows = random_rows(seed, n, vocabulary, per_title)
+    check(spark, rows, max_posting=posting)
+    # All rounds as joins, none left to one task at the end.
+    check(spark, rows, max_posting=posting, last_rows=0)
 
 
 def test_not_transitive_and_ties(spark):
@@ -89,5 +92,12 @@ def test_copies_collapse(spark):
     assert len(pairs) == 499 and {(r.kept_pos, r.shared) for r in pairs} == {(0, 5)}
 
 
+def test_long_chain_of_repeats_takes_rounds(spark):
+    """Each title repeats the one before it: every second one stays, whatever is left to the last task."""
+    rows = [("t", i, "2024-01-01", " ".join(f"word{i * 2 + k:04d}" for k in range(6))) for i in range(14)]
+    for last in (0, 5, 500):
+        check(spark, rows, last_rows=last)
+
+
 def test_empty(spark):
     assert dedupe_titles(spark.createDataFrame([], SCHEMA)).count() == 0
