@@ -265,6 +265,24 @@ def audit_job(v):
     return rows.groupBy("function_name", "cached_at").agg(F.count("item").alias("n_items"))
 
 
+@query(
+    "audit_payloads",
+    f"""{_AUDIT_SQL}
+    select v.function_name, md5(string_agg(k.item.headline || '@' || k.item.timestamp, ';' order by k.pos)) digest,
+      coalesce(any_value(s.cached_at), strftime({_NOW}, '%Y-%m-%dT%H:%M:%S.%gZ')) stamp
+    from verdicts v join store s using (function_name) join kept k using (function_name) where verdict = 'keep' group by 1""",
+    ("store", "snap_items"),
+)
+def audit_payloads(v):
+    """What the payloads of cleaned snapshots hold after the audit: their items in order, and the write time."""
+    after, _ = audit(v.store(), now())
+    stamped = after.withColumn("stamp", F.get_json_object("response_data", "$.cached_at"))
+    rows = sn.explode_snapshots(stamped, keep=("stamp",))
+    text = F.concat_ws("@", *[F.try_variant_get("item", f"$.{f}", "string") for f in ("headline", "timestamp")])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("text")))), lambda i: i["text"])
+    return rows.groupBy("function_name", "stamp").agg(F.md5(F.array_join(listed, ";")).alias("digest")).select("function_name", "digest", "stamp")
+
+
 @query(
     "evict_feed",
     f"""with newest as (select function_name, max(item.timestamp) newest from snap_items where event_id in (select event_id from store) group by 1),
