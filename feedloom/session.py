@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+SCRATCH_NAME = re.compile(r".+-[0-9a-f]{32}")
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session."""
@@ -59,6 +63,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def clean_scratch(spark: SparkSession, hours: float = 48.0) -> list[str]:
+    """Delete intermediate tables of the shared folder that are ``hours`` old; their names.
+
+    A result that was not written yet still reads its tables: allow more hours than any
+    job takes.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for found in files.listStatus(folder):
+        name = found.getPath().getName()
+        age = time.time() * 1000 - found.getModificationTime()
+        if SCRATCH_NAME.fullmatch(name) and age >= hours * 3_600_000:
+            files.delete(found.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def small_side(df: DataFrame, most: int = 10_000) -> DataFrame:
     """A join side that is broadcast if its counted rows are few, else left to Spark.
 
