@@ -65,6 +65,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     before = np.empty(n, np.int64)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
+    # Eight bytes from each place on, the first one lowest, so that they are compared at once.
+    padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
+    eight = np.zeros(n, np.uint64)
+    for k in range(8):
+        eight |= padded[k : n + k] << np.uint64(8 * k)
     stretch = 256
     starts = np.arange(0, n, stretch)
     carried = np.zeros(len(starts), np.int64)
@@ -77,10 +82,14 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
         carried = np.where(other < 0, 0, np.maximum(carried - 1, 0))
         going = np.flatnonzero(other >= 0)
         while len(going):
-            a, b = here[going] + carried[going], other[going] + carried[going]
-            ok = (carried[going] < limit) & (a < n) & (b < n)
-            going, a, b = going[ok], a[ok], b[ok]
-            going = going[text[a] == text[b]]
-            carried[going] += 1
+            held = carried[going]
+            a, b = here[going] + held, other[going] + held
+            room = np.minimum(limit - held, n - np.maximum(a, b))
+            some = room > 0
+            going, a, b, room = going[some], a[some], b[some], room[some]
+            apart = eight[a] ^ eight[b]
+            alike = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # 8 if none is
+            carried[going] += np.minimum(alike, room)
+            going = going[(alike == 8) & (room > 8)]
         shared[here] = carried
     return shared[order]

@@ -46,8 +46,7 @@ def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
     n = len(block.data) - MATCH + 1  # windows
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    places = np.arange(n + SIDE)
-    hashes = block.hasher()(places, places + ANCHOR)
+    hashes = block.windows(ANCHOR)
     least = _sliding(hashes, np.minimum)
     owner = np.repeat(np.arange(block.n_docs), np.diff(block.offsets))
     least[owner[:n] != owner[MATCH - 1 :]] = 0  # a window across documents marks nothing

@@ -22,6 +22,7 @@ TO_LOWER[65:91] += 32
 
 # Odd multipliers of the two polynomial hashes.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+LENGTH = np.uint64(0x2545F4914F6CDD1D)
 MASK = (1 << 64) - 1
 
 
@@ -112,23 +113,36 @@ class Block:
     def owner(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offsets, places, side="right") - 1
 
-    def hasher(self, data: np.ndarray | None = None, which: int = 0):
-        """A function giving the hashes of byte ranges of ``data``."""
-        data = self.data if data is None else data
-        inverse = pow(BASES[which], -1, 1 << 64)
+    def _sums(self, data: np.ndarray, which: int) -> np.ndarray:
         sums = np.zeros(len(data) + 1, np.uint64)
         weighed = _first_powers(BASES[which], len(data))
         weighed *= data.astype(np.uint64) + np.uint64(1)
         np.cumsum(weighed, dtype=np.uint64, out=sums[1:])
+        return sums
+
+    def hasher(self, data: np.ndarray | None = None, which: int = 0):
+        """A function giving the hashes of byte ranges of ``data``."""
+        data = self.data if data is None else data
+        sums, inverse = self._sums(data, which), pow(BASES[which], -1, 1 << 64)
 
         def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             if not len(starts):
                 return np.zeros(0, np.uint64)
             whole = (sums[ends] - sums[starts]) * _power(inverse, starts)
-            return mix(whole + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+            return mix(whole + (ends - starts).astype(np.uint64) * LENGTH)
 
         return hashes
 
+    def windows(self, width: int) -> np.ndarray:
+        """The hash of every ``width`` bytes in a row, as ``hasher`` gives it."""
+        n = len(self.data) - width + 1
+        if n <= 0:
+            return np.zeros(0, np.uint64)
+        sums = self._sums(self.data, 0)
+        whole = sums[width:] - sums[:n]
+        whole *= _first_powers(pow(BASES[0], -1, 1 << 64), n)
+        return mix(whole + np.uint64(width * int(LENGTH) & MASK))
+
 
 def blocks(texts: pa.Array, most: int = 1 << 19) -> Iterator[Block]:
     """Cut a string column into blocks of whole texts of about ``most`` bytes; a null is empty."""
