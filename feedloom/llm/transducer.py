@@ -12,8 +12,6 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-ROOT = -1  # in Builder: the state that is still open
-
 
 class Builder:
     """Add words in byte order, each once; ``finish`` gives the transducer."""

@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from feedloom.llm import divergence
 from feedloom.llm.text_arrays import blocks
