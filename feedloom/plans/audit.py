@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from feedloom.operators import snapshots as sn
 from feedloom.session import cut_lineage

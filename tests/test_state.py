@@ -7,7 +7,6 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
 from feedloom.streaming import jobs, state
 from tests.test_streams import batches, loop
