@@ -34,7 +34,7 @@ from feedloom.llm.text_arrays import Block, as_long, blocks
 MATCH = 50
 ANCHOR = 20
 SIDE = MATCH - ANCHOR
-HOT = 1 << 13  # rows of an anchor that may be cut at shard borders
+HOT = 1 << 15  # rows of an anchor that may be cut at shard borders; fewer are some 2.6 MB of contexts
 BUCKET = 1 << 25  # bytes of anchor hashes that are looked at together
 SAMPLE = 0.01
 SHARD = 1 << 20  # bytes of distinct contexts in one suffix array

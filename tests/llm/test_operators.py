@@ -195,8 +195,9 @@ def test_suffix_dedup(spark, docs, rows, empty, parts):
 
 
 @pytest.mark.parametrize("parts", [2, 24])
-def test_very_common_anchors_cross_shards(spark, docs, parts):
+def test_very_common_anchors_cross_shards(spark, docs, parts, monkeypatch):
     """Twelve thousand near copies: their anchors are cut at borders of shards and partitions."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1 << 13)
     rng = np.random.default_rng(9)
     letters = np.frombuffer(b"abcdefghijklmnop", np.uint8)
     passage = rng.choice(letters, 90).tobytes()
