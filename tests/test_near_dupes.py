@@ -5,8 +5,11 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from feedloom.operators import near_dupes
 from feedloom.operators.near_dupes import TitleGroups, dedupe_titles, title_pairs
 
 SCHEMA = "conflict STRING, pos BIGINT, ts_raw STRING, title STRING"
@@ -101,3 +104,29 @@ def test_long_chain_of_repeats_takes_rounds(spark):
 
 def test_empty(spark):
     assert dedupe_titles(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_long_titles_of_common_words_stay_linear(spark):
+    """Nobody's words are rare: one verdict a title, not a row for each four words it shares with others."""
+    rng = random.Random(7)
+    rows = [("t", i, "2024-01-01", " ".join(rng.sample([f"word{k:02d}" for k in range(40)], 14))) for i in range(200)]
+    check(spark, rows, max_posting=16)
+    assert TitleGroups(spark.createDataFrame(rows, SCHEMA), max_posting=16).members.count() == len(rows)
+
+
+@pytest.mark.parametrize("step, cells", [(512, 1 << 21), (7, 50), (1, 1)])
+def test_block_is_settled_in_order(monkeypatch, step, cells):
+    """Whatever part of a block is compared at a time."""
+    monkeypatch.setattr(near_dupes, "STEP", step)
+    monkeypatch.setattr(near_dupes, "CELLS", cells)
+    sets = sorted({(c, " ".join(sorted(words(title)))): i for c, i, _, title in random_rows(5, 120, 50, 12, groups=1) if len(words(title)) >= 4}.items(), key=lambda x: x[1])
+    block = pa.table({"conflict": [c for (c, _), _ in sets], "oid": [i for _, i in sets], "words": [w for (_, w), _ in sets]})
+    kept, absorbed = one_by_one([(c, i, "", w) for (c, w), i in sets])
+    half = len(sets) // 2
+    first = near_dupes._settle_block(block[:half].take(list(reversed(range(half)))), 4)
+    heads = first.filter(pc.is_valid(first["words"])).select(["conflict", "oid", "words"])
+    met = near_dupes._drop_repeats(block[half:], heads, 4)
+    second = near_dupes._settle_block(met.filter(pc.is_valid(met["words"])).select(["conflict", "oid", "words"]), 4)
+    rows = first.to_pylist() + met.filter(pc.is_null(met["words"])).to_pylist() + second.to_pylist()
+    assert {("t0", r["oid"]) for r in rows if r["oid"] == r["kept_oid"]} == kept and len(rows) == len(sets)
+    assert {("t0", r["oid"]): (r["kept_oid"], r["shared"]) for r in rows if r["oid"] != r["kept_oid"]} == absorbed
