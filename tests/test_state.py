@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 
 from feedloom.streaming import jobs, state
 from tests.test_streams import batches, loop
@@ -151,3 +154,42 @@ def test_keep_first_whatever_comes_first(spark, tmp_path):
     want = [pos for pos, last in islands([r for r in rows if r[2].strip()], 6) if last + timedelta(hours=6) <= newest - timedelta(hours=6)]
     want += [r[1] for r in rows if not r[2].strip()]
     assert sorted(r.pos for r in kept.collect()) == sorted(want)
+
+
+def test_many_alerts_of_one_owner_take_little_memory():
+    """A micro-batch of one owner is held as columns, not as a Python row for each alert."""
+
+    class Held:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def put(self, value):
+            self.value = value
+
+        update = put
+
+        def clear(self):
+            self.value = None
+
+    notes = state.Notifications()
+    notes.stored, notes.marks = Held(), Held()
+    fields = [c.split()[0] for c in EVENT.split(", ")]
+    n = 60_000
+    rows = (Row(*fields)("a", f"2024-01-{i * 7919 % n:08d}", "alert", 0, i, f"headline {i}", None) for i in range(n))
+    tracemalloc.start()
+    held = pa.total_allocated_bytes()
+    most = added = 0
+    for r in notes.handleInputRows(("a",), rows, None):
+        added += r.event in ("announced", "added")
+        if added % 5000 == 1:
+            most = max(most, pa.total_allocated_bytes() - held)
+    most += tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert added == n and [s[0] for s in notes.stored.get()] == [f"2024-01-{n - 1 - i:08d}" for i in range(50)]
+    assert most < 300 * n
