@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.text import with_norm_name
+from feedloom.session import cut_lineage, small_side
 
 ANCHOR_CHARS = 3
 
@@ -90,12 +91,14 @@ def roster_match(
     """Keep comments by roster members, under their canonical name and title.
 
     Only distinct names are normalised and matched; the comments themselves are
-    joined once, on the name as written.
+    joined once, on the name as written.  Distinct names are stored before that:
+    each use would read (and parse) the comments again, and filters on the
+    normalised name would be pushed to every comment.
     """
-    people = roster.groupBy("conflict", "name").agg(F.min("ord").alias("ord"))
+    people = cut_lineage(roster.groupBy("conflict", "name").agg(F.min("ord").alias("ord")))
     named = with_norm_name(people, "name", strip_marks=strip_marks)
-    authors = comments.select("conflict", "author").distinct()
-    authors = with_norm_name(authors, "author", strip_marks=strip_marks).filter(F.length("norm") >= min_len)
+    written = cut_lineage(comments.select("conflict", "author").distinct())
+    authors = with_norm_name(written, "author", strip_marks=strip_marks).filter(F.length("norm") >= min_len)
     hits = roster_hits(authors.select("conflict", "norm").distinct(), named.select("conflict", "norm", "ord"))
     resolved = (
         authors.join(hits, ["conflict", "norm"])
@@ -103,6 +106,6 @@ def roster_match(
         .select("conflict", "author", F.col("name").alias("canonical"), F.col("title").alias("canonical_title"))
     )
     kept = [c for c in comments.columns if c not in ("author", "affiliation")]
-    return comments.join(resolved, ["conflict", "author"]).select(
+    return comments.join(small_side(resolved, counted=written), ["conflict", "author"]).select(
         *kept, F.col("canonical").alias("author"), F.col("canonical_title").alias("affiliation")
     )

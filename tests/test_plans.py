@@ -57,3 +57,9 @@ def test_scans_read_only_what_is_needed(spark):
     # Alerts are judged by the severity of every event, so no filter on its type reaches the scan.
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan(spark, "alert_cap")
     assert "PushedFilters: [In(function_name, " in plan(spark, "snapshot_scan")
+
+
+def test_names_are_resolved_without_reading_comments_again(spark):
+    """Comments are parsed for their names and for the result, not for each use of the names."""
+    assert plan(spark, "analyst_feed").count("FileScan parquet [event_id#") == 1
+    assert plan(spark, "roster_match").count("FileScan parquet [l_partkey#") == 1
