@@ -200,7 +200,9 @@ def analyst_feed(v):
         F.lit("said so").alias("comment"),
         F.lit(NOW_ISO).alias("timestamp"),
     )
-    rows = v.table("events", "event_id", "user_id").select(
+    # A few MB of events make many responses to parse: spread while they are two numbers.
+    tasks = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = v.table("events", "event_id", "user_id").repartition(tasks, "event_id").select(
         F.concat(F.lit("src"), F.col("user_id") % 20).alias("conflict"),
         e.alias("response_id"),
         (e % 3).alias("wrap"),
