@@ -53,43 +53,25 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """Bytes, up to ``limit``, that each suffix of the array shares with the one before it.
+    """Bytes, up to ``limit``, that each of the sorted suffixes ``order`` shares with the one before it.
 
-    Kasai's rule: the suffix one byte on shares at least one byte less with its
-    own predecessor. The text is walked in many stretches side by side, one numpy
-    step for a place in each.
+    Neighbours are compared eight bytes at a time; those that are alike so far go on.
     """
     n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    before = np.empty(n, np.int64)
-    before[order[1:]] = order[:-1]
-    before[order[0]] = -1
+    shared = np.zeros(len(order), np.int64)
     # Eight bytes from each place on, the first one lowest, so that they are compared at once.
     padded = np.concatenate([text, np.zeros(7, text.dtype)]).astype(np.uint64)
     eight = np.zeros(n, np.uint64)
     for k in range(8):
         eight |= padded[k : n + k] << np.uint64(8 * k)
-    stretch = 256
-    starts = np.arange(0, n, stretch)
-    carried = np.zeros(len(starts), np.int64)
-    shared = np.zeros(n, np.int64)
-    for step in range(min(stretch, n)):
-        if starts[-1] + step >= n:
-            starts, carried = starts[:-1], carried[:-1]
-        here = starts + step
-        other = before[here]
-        carried = np.where(other < 0, 0, np.maximum(carried - 1, 0))
-        going = np.flatnonzero(other >= 0)
-        while len(going):
-            held = carried[going]
-            a, b = here[going] + held, other[going] + held
-            room = np.minimum(limit - held, n - np.maximum(a, b))
-            some = room > 0
-            going, a, b, room = going[some], a[some], b[some], room[some]
-            apart = eight[a] ^ eight[b]
-            alike = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # 8 if none is
-            carried[going] += np.minimum(alike, room)
-            going = going[(alike == 8) & (room > 8)]
-        shared[here] = carried
-    return shared[order]
+    going, a, b = np.arange(1, len(order)), order[1:], order[:-1]
+    for held in range(0, limit, 8):
+        if not len(going):
+            break
+        room = np.minimum(limit - held, n - np.maximum(a, b))
+        apart = eight[a] ^ eight[b]
+        alike = np.bitwise_count((apart & (~apart + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3  # 8 if none is
+        shared[going] += np.minimum(alike, room)
+        on = np.flatnonzero((alike == 8) & (room > 8))
+        going, a, b = going[on], a[on] + 8, b[on] + 8
+    return shared

@@ -9,7 +9,7 @@
    sorted by anchor and context. A very common anchor spreads over many shards, any
    other stays in one.
 4. Each shard builds the suffix array of its distinct contexts (Larsson-Sadakane) and
-   their common prefixes (Kasai). Suffixes that share 50 bytes are one class; in it,
+   the common prefixes of neighbours. Suffixes that share 50 bytes are one class; in it,
    all documents but the smallest lose the string. Where all rows of an anchor have
    one context, or one document, that is known without it.
 5. Very common anchors that cross the border of a shard leave the sorted class table
@@ -39,10 +39,23 @@ BUCKET = 1 << 25  # bytes of anchor hashes that are looked at together
 SAMPLE = 0.01
 SHARD = 1 << 20  # bytes of distinct contexts in one suffix array
 BLOCK = 1 << 19
+PIECE = 1 << 16  # bytes of texts whose windows are hashed at a time: their arrays stay in a core's cache
 
 
 def anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors: the least hashes of all runs of SIDE + 1 of them."""
+    places, found, i = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
+    while i < block.n_docs:
+        begin = block.offsets[i]
+        j = max(i + 1, int(np.searchsorted(block.offsets, begin + PIECE, side="right")) - 1)
+        at, hashes = _anchors(Block(block.data[begin : block.offsets[j]], block.offsets[i : j + 1] - begin, i))
+        places.append(at + begin)
+        found.append(hashes)
+        i = j
+    return np.concatenate(places), np.concatenate(found)
+
+
+def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray]:
     n = len(block.data) - MATCH + 1  # windows
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -220,14 +233,12 @@ def _shard(table: pa.RecordBatch, open_left: bool, open_right: bool) -> Iterator
     text = data[np.arange(begin[-1]) + np.repeat(ends[head] - begin[:-1], size)]
 
     order = suffix_array(text)
-    shared = common_prefixes(text, order, MATCH)
     owner = np.repeat(np.arange(len(head)), size)
     spot = np.arange(len(text)) - begin[owner]
-    whole = spot[order] + MATCH <= size[owner[order]]  # suffixes whose first 50 bytes lie in their context
-    group = np.cumsum(shared < MATCH) - 1
-    group, suffix = group[whole], order[whole]
+    suffix = order[spot[order] + MATCH <= size[owner[order]]]  # suffixes whose first 50 bytes lie in their context
     if not len(suffix):
         return
+    group = np.cumsum(common_prefixes(text, suffix, MATCH) < MATCH) - 1
     least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, group, doc[head[owner[suffix]]])
     lowest = np.empty(len(text), np.int64)

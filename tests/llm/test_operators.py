@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,30 @@ def test_very_common_anchors_cross_shards(spark, docs, parts, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_prefixes_of_some_suffixes():
+    """Only suffixes that are asked for are compared, each with the one before it among them."""
+    rng = np.random.default_rng(5)
+    text = rng.integers(97, 99, 600).astype(np.uint8)
+    text[300:420] = text[100:220]
+    raw, order = text.tobytes(), suffix_array(text)
+    some = order[rng.random(len(order)) < 0.4]
+    for limit in (1, 8, 50):
+        plain = [0] + [len(os.path.commonprefix([raw[a : a + limit], raw[b : b + limit]])) for a, b in zip(some, some[1:])]
+        assert common_prefixes(text, some, limit).tolist() == plain
+
+
+def test_anchors_do_not_depend_on_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["".join(map(chr, rng.integers(97, 123, n))) for n in (0, 30, 49, 50, 51, 400, 0, 3000, 60, 1)]
+    block = next(blocks(pa.array(texts)))
+    found = []
+    for piece in (1, 100, 1 << 16):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        at, hashes = suffix_dedup.anchors(block)
+        found.append((at.tolist(), hashes.tolist()))
+    assert found[0] == found[1] == found[2] and len(found[0][0]) > 100
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(2)
     for _ in range(20):
