@@ -143,3 +143,19 @@ def test_words_are_cut_in_one_step(spark, capsys):
         assert found == list(dict.fromkeys(w for w in plain.split() if len(w) > 3))
     rows.explain(True)
     assert "regexp_replace" not in capsys.readouterr().out
+
+
+def test_size_estimates_stay_with_the_rows(spark, monkeypatch, capsys):
+    """Joins estimate the product of their sides: carried from round to round, the number's digits grew fivefold each time."""
+    real, plans = near_dupes.small_side, []
+
+    def explained(df, *rest):
+        df.explain("cost")
+        plans.append(capsys.readouterr().out)
+        return real(df, *rest)
+
+    monkeypatch.setattr(near_dupes, "small_side", explained)
+    check(spark, [("t", i, "2024-01-01", " ".join(f"word{i * 5 + k:04d}" for k in range(6))) for i in range(70)], max_posting=4, last_rows=0)
+    estimates = [re.findall(r"sizeInBytes=(\S+)", plan) for plan in plans]
+    assert len(estimates) >= 8 and all(estimates)
+    assert not [x for found in estimates for x in found if "E+" in x]
